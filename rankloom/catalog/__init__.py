@@ -8,6 +8,8 @@ from rankloom.catalog import (  # noqa: F401  (importing registers the queries)
     e_joins,
     f_reference,
     g_priors,
+    h_factors,
+    i_models,
     j_fusion,
     k_metrics,
     l_profile,

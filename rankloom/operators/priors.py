@@ -53,83 +53,104 @@ class Block:
     count: str | None = None
 
 
-def _sum_columns(measures: Mapping[str, Column], n_folds: int | None) -> list[Column]:
-    out = [F.sum(value).alias(name) for name, value in measures.items()]
-    if n_folds:
-        for name, value in measures.items():
-            parts = [F.sum(F.when(F.col(FOLD) == f, value).otherwise(0.0)) for f in range(n_folds)]
-            out.append(F.array(*parts).alias(f"{name}__own"))
-    return out
-
-
-def _outside_fold(total: Column, own: Column) -> Column:
-    return total - F.element_at(own, F.col(FOLD) + 1)
-
-
-def attach_sums(
-    df: DataFrame, fit: DataFrame, keys: Sequence[str], measures: Mapping[str, Column], n_folds: int | None = None
-) -> DataFrame:
-    """Sums of fit rows sharing the row's key, without the row's own fold; 0 if none."""
-    table = fit.groupBy(*keys).agg(*_sum_columns(measures, n_folds))
-    out = lookup(df, table, keys)
-    if n_folds:
-        out = out.withColumns({
-            name: _outside_fold(F.col(name), F.col(f"{name}__own")) for name in measures
-        }).drop(*[f"{name}__own" for name in measures])
-    return out.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in measures})
-
-
-def global_sums(fit: DataFrame, measures: Mapping[str, Column], n_folds: int | None = None) -> dict[str, Column]:
-    """The same sums over all keys, as scalar-subquery columns."""
-    row = fit.agg(F.struct(*_sum_columns(measures, n_folds)).alias("s")).scalar()
-    if not n_folds:
-        return {name: row[name] for name in measures}
-    return {name: _outside_fold(row[name], row[f"{name}__own"]) for name in measures}
-
-
-def _populations(blocks: Sequence[Block]) -> dict[tuple[str, bool], str]:
-    """Column name of every (measure, random rows only) pair the blocks use."""
-    used = {}
-    for block in blocks:
-        names = {"n"} | {r.numerator for r in block.rates} | {r.denominator for r in block.rates}
-        for name in sorted(names):
-            used[(name, block.random_only)] = f"_s_{name}_{'random' if block.random_only else 'all'}"
-    return used
+class SumTable:
+    """Sums per key, in total and by fold, and the same sums over all keys.
 
+    The overall sums are an aggregate of the per-key table, so Spark reuses its
+    shuffle and the fit rows are read once.
+    """
 
-def _population_value(name: str, random_only: bool) -> Column:
-    value = measure(name)
-    return F.when(F.col("random_bool") == 1, value).otherwise(0.0) if random_only else value
+    def __init__(
+        self, fit: DataFrame, keys: Sequence[str], measures: Mapping[str, Column], n_folds: int | None = None
+    ):
+        self.keys, self.names, self.n_folds = list(keys), list(measures), n_folds
+        parts = [F.sum(value).alias(name) for name, value in measures.items()]
+        for name, value in measures.items():
+            for f in range(n_folds or 0):
+                own = F.when(F.col(FOLD) == f, value).otherwise(0.0)
+                parts.append(F.sum(own).alias(f"{name}__f{f}"))
+        self.table = fit.groupBy(*self.keys).agg(*parts)
+
+    def _own(self, name: str, source=F.col) -> Column:
+        return F.element_at(F.array(*[source(f"{name}__f{f}") for f in range(self.n_folds)]), F.col(FOLD) + 1)
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Sums of fit rows sharing the row's key, without the row's own fold; 0 if none."""
+        out = lookup(df, self.table, self.keys)
+        value = lambda n: F.col(n) - self._own(n) if self.n_folds else F.col(n)
+        out = out.withColumns({n: F.coalesce(value(n), F.lit(0.0)) for n in self.names})
+        extra = [f"{n}__f{f}" for n in self.names for f in range(self.n_folds or 0)]
+        return out.drop(*extra)
+
+    def attach_overall(self, df: DataFrame, out: str = "_overall") -> tuple[DataFrame, dict[str, Column]]:
+        """The sums over all fit rows (outside the row's fold), read from one struct column."""
+        columns = [c for c in self.table.columns if c not in self.keys]
+        row = self.table.agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("s")).scalar()
+        df = df.withColumn(out, row)
+        field = lambda c: F.col(out)[c]
+        if not self.n_folds:
+            return df, {n: field(n) for n in self.names}
+        return df, {n: field(n) - self._own(n, field) for n in self.names}
 
 
 def smoothed_priors(
     df: DataFrame, fit: DataFrame, blocks: Sequence[Block], n_folds: int | None = None
 ) -> DataFrame:
-    """Attach every rate of ``blocks``. With ``n_folds`` both frames carry ``fold``."""
+    """Attach every rate of ``blocks``. With ``n_folds`` both frames carry ``fold``.
+
+    Blocks that share keys share one aggregation and one join.
+    """
     if any("booking_window_bucket" in b.keys for b in blocks):
         df, fit = with_window_bucket(df), with_window_bucket(fit)
-    used = _populations(blocks)
-    overall = global_sums(
-        fit, {col: _population_value(*key) for key, col in used.items()}, n_folds
-    )
     by_keys: dict[tuple[str, ...], list[Block]] = {}
+    population: dict[bool, dict[str, str]] = {True: {}, False: {}}
     for block in blocks:
         by_keys.setdefault(block.keys, []).append(block)
-    for keys, group in by_keys.items():
-        mine = _populations(group)
-        df = attach_sums(df, fit, keys, {c: _population_value(*k) for k, c in mine.items()}, n_folds)
-        rates: dict[str, Column] = {}
+        for name in {"n"} | {r.numerator for r in block.rates} | {r.denominator for r in block.rates}:
+            population[block.random_only][_sum_name(name, block)] = name
+    overall: dict[str, Column] = {}
+    columns = df.columns
+    for i, (keys, group) in enumerate(by_keys.items()):
+        random_only = all(b.random_only for b in group)
+        rows = fit.where(F.col("random_bool") == 1) if random_only else fit
+        # the first table of a population carries all its measures, so that one
+        # table serves the overall sums of every block
+        wanted = {
+            col: name for kind in {b.random_only for b in group} for col, name in population[kind].items()
+            if col not in overall or any(col in _sum_names(b) for b in group)
+        }
+        measures = {}
+        for col, name in sorted(wanted.items()):
+            value = measure(name)
+            if col in population[True] and not random_only:
+                value = F.when(F.col("random_bool") == 1, value).otherwise(0.0)
+            measures[col] = value
+        sums = SumTable(rows, keys, measures, n_folds)
+        df = sums.attach(df)
+        if any(col not in overall for col in measures):
+            df, fresh = sums.attach_overall(df, f"_overall{i}")
+            overall |= {col: c for col, c in fresh.items() if col not in overall}
+        out: dict[str, Column] = {}
         for block in group:
-            pick = lambda name, b=block: used[(name, b.random_only)]
             for rate in block.rates:
-                top, bottom = pick(rate.numerator), pick(rate.denominator)
+                top, bottom = _sum_name(rate.numerator, block), _sum_name(rate.denominator, block)
                 base = overall[bottom] if rate.denominator == "n" else F.greatest(overall[bottom], F.lit(1.0))
                 mean = F.coalesce(overall[top] / F.nullif(base, F.lit(0.0)), F.lit(0.0))
-                rates[rate.out] = (F.col(top) + block.m * mean) / (F.col(bottom) + block.m)
+                out[rate.out] = (F.col(top) + block.m * mean) / (F.col(bottom) + block.m)
             if block.count:
-                rates[block.count] = F.col(pick("n")).cast("long")
-        df = df.withColumns(rates).drop(*mine.values())
-    return df
+                out[block.count] = F.col(_sum_name("n", block)).cast("long")
+        df = df.withColumns(out).drop(*measures)
+        columns = columns + list(out)
+    return df.select(*columns)
+
+
+def _sum_names(block: Block) -> set[str]:
+    names = {"n"} | {r.numerator for r in block.rates} | {r.denominator for r in block.rates}
+    return {_sum_name(n, block) for n in names}
+
+
+def _sum_name(name: str, block: Block) -> str:
+    return f"_s_{name}_{'random' if block.random_only else 'all'}"
 
 
 # --- the prior sets ---------------------------------------------------------
@@ -198,21 +219,22 @@ def hotel_price_stats_oof(train: DataFrame, n_folds: int = 5) -> DataFrame:
     Prices are centred on the overall mean first, so that the difference of
     square sums keeps its precision.
     """
-    centre = train.agg(F.avg("price_usd")).scalar()
-    shifted = train.withColumn("_d", F.col("price_usd") - centre)
-    sums = {"_pn": F.when(F.col("_d").isNotNull(), 1.0).otherwise(0.0), "_px": F.coalesce("_d", F.lit(0.0)),
-            "_pxx": F.coalesce(F.col("_d") * F.col("_d"), F.lit(0.0))}
-    overall = global_sums(shifted, sums, n_folds)
-    out = attach_sums(shifted, shifted, ["prop_id"], sums, n_folds)
-    n, x, xx = F.col("_pn"), F.col("_px"), F.col("_pxx")
-    mean = centre + F.when(n > 0, x / n).otherwise(overall["_px"] / overall["_pn"])
-    variance = F.greatest((xx - x * x / n) / (n - 1), F.lit(0.0))
+    centre = F.col("_centre")
+    shifted = train.withColumn("_centre", train.agg(F.avg("price_usd")).scalar())
+    shifted = shifted.withColumn("_d", F.col("price_usd") - centre)
+    d = F.coalesce("_d", F.lit(0.0))
+    measures = {"_pn": F.col("_d").isNotNull().cast("double"), "_px": d, "_pxx": d * d}
+    sums = SumTable(shifted, ["prop_id"], measures, n_folds)
+    out, overall = sums.attach_overall(sums.attach(shifted))
+    n, x, xx = F.nullif(F.col("_pn"), F.lit(0.0)), F.col("_px"), F.col("_pxx")
+    fallback = overall["_px"] / F.nullif(overall["_pn"], F.lit(0.0))
+    variance = F.greatest((xx - x * x / n) / F.nullif(n - 1, F.lit(0.0)), F.lit(0.0))
     return out.withColumns({
-        "prop_id_price_mean": mean,
-        "prop_id_price_std": F.when(n > 1, F.sqrt(variance)).otherwise(0.0),
+        "prop_id_price_mean": centre + F.coalesce(x / n, fallback),
+        "prop_id_price_std": F.coalesce(F.sqrt(variance), F.lit(0.0)),
     }).withColumn(
         "price_dev_from_prop_mean", F.col("price_usd") - F.col("prop_id_price_mean")
-    ).drop("_d", "_pn", "_px", "_pxx")
+    ).drop("_d", "_centre", "_overall", *measures)
 
 
 # Child context column of each lattice and its output prefix.
@@ -238,13 +260,15 @@ def hierarchical_priors(
     reliability. All lattices share one pass over the parent.
     """
     df, fit = with_window_bucket(df), with_window_bucket(fit)
-    parts = {"n": measure("n"), "b": measure("book")}
-    overall = global_sums(fit, parts, n_folds)
-    mean = F.coalesce(overall["b"] / F.nullif(overall["n"], F.lit(0.0)), F.lit(0.0))
-    out = attach_sums(df, fit, [parent], {"_pn": parts["n"], "_pb": parts["b"]}, n_folds)
+    above = SumTable(fit, [parent], {"_pn": measure("n"), "_pb": measure("book")}, n_folds)
+    out, overall = above.attach_overall(above.attach(df))
+    mean = F.coalesce(overall["_pb"] / F.nullif(overall["_pn"], F.lit(0.0)), F.lit(0.0))
+    out = out.withColumn("_mean", mean)
+    mean = F.col("_mean")
     out = out.withColumn("_parent", (F.col("_pb") + m_parent * mean) / (F.col("_pn") + m_parent))
     for prefix, context in lattices.items():
-        out = attach_sums(out, fit, [parent, context], {"_cn": parts["n"], "_cb": parts["b"]}, n_folds)
+        below = SumTable(fit, [parent, context], {"_cn": measure("n"), "_cb": measure("book")}, n_folds)
+        out = below.attach(out)
         n, seen = F.col("_cn"), F.col("_cn") > 0
         rate = (F.col("_cb") + m_child * F.col("_parent")) / (n + m_child)
         out = out.withColumns({
@@ -252,7 +276,7 @@ def hierarchical_priors(
             f"{prefix}_lift": F.when(seen, rate - F.col("_parent")).otherwise(0.0),
             f"{prefix}_reliability": n / (n + m_child),
         }).drop("_cn", "_cb")
-    return out.drop("_pn", "_pb", "_parent")
+    return out.drop("_pn", "_pb", "_parent", "_mean", "_overall")
 
 
 def lattice_pair(
