@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -60,3 +61,13 @@ def cut_lineage(df):
 def stage_folder(spark: SparkSession, name: str) -> str:
     """A folder for a named stage table beside the checkpoints."""
     return os.path.join(ensure_checkpoint_dir(spark), "stages", name)
+
+
+def stage_table(df, name: str):
+    """Write ``df`` as parquet in the shared folder and read it back.
+
+    For wide frames: unlike a checkpoint, a later plan reads only the columns it needs.
+    """
+    path = stage_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
