@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.rows import relevance
+from rankloom.operators.nulls import null_safe_join
 from rankloom.operators.joins import top_k
-from rankloom.operators.skew import null_safe_join, value_ranks
+from rankloom.operators.skew import value_ranks
 
 LABELS = ("booking_bool", "click_bool")
 

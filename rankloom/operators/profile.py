@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.rows import RATES, window_bucket
+from rankloom.operators.nulls import null_safe_join
 from rankloom.operators.metrics import correlation_pairs, pearson_matrix
 from rankloom.operators.quantiles import exact_quantiles
 from rankloom.operators.sampling import uniform_rows
-from rankloom.operators.skew import null_safe_join
 
 
 def _rate(col: str) -> Column:

@@ -1,9 +1,11 @@
 """Exact quantiles of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one aggregation state.
-Here a bounded sketch first brackets the wanted order statistic; values inside
-the bracket are then counted exactly, all others are only tallied. Both passes
-aggregate before the shuffle, and what reaches one task is the bracket.
+``percentile`` keeps every distinct value of a group in one aggregation state,
+which is right for groups within the row limit. For larger ones a bounded sketch first brackets the wanted order statistic; values inside
+the bracket are then counted exactly, all others are only tallied. The bracket is
+cut into slices; a running count over the slices finds the one that holds the
+wanted rank, and only that slice is put in order. Every step aggregates before
+its shuffle.
 """
 
 from __future__ import annotations
@@ -13,14 +15,34 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.groups import by_group_size, fits_one_task
+from rankloom.operators.nulls import null_safe_join
+
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY
+SLICES = 1024
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float]
+    df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float], small: bool | None = None
 ) -> DataFrame:
-    """``{output: probability}`` quantiles with linear interpolation, nulls skipped."""
+    """``{output: probability}`` quantiles with linear interpolation, nulls skipped.
+
+    ``small`` tells that the frame is known to be within the group limit.
+    """
+    values = df.select(*keys, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+
+    def plain(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).agg(*[F.percentile("_x", float(p)).alias(n) for n, p in probs.items()])
+
+    if fits_one_task(values) if small is None else small:
+        return plain(values)
+    sliced = lambda part: bracket_quantiles(part, keys, "_x", probs)
+    return by_group_size(values, keys, plain, sliced) if keys else sliced(values)
+
+
+def bracket_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float]) -> DataFrame:
+    """The route for large groups."""
     names = list(probs)
     levels = [float(probs[n]) for n in names]
     bounds = [b for p in levels for b in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
@@ -28,42 +50,58 @@ def exact_quantiles(
     sketch_of = F.percentile_approx("_x", bounds, ACCURACY)
     if keys:
         sketch = values.groupBy(*keys).agg(sketch_of.alias("_edges"))
-        from rankloom.operators.skew import null_safe_join
         tagged = null_safe_join(values, sketch, keys, "left")
     else:
         tagged = values.withColumn("_edges", values.agg(sketch_of).scalar())
 
-    edge = F.col("_edges")
+    edge, x = F.col("_edges"), F.col("_x")
     lanes = []
     for i in range(len(levels)):
         low, high = edge[2 * i], edge[2 * i + 1]
+        part = F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * SLICES)
         slot = (
-            F.when(F.col("_x") < low, F.lit(0))
-            .when(F.col("_x") > high, F.lit(2))
-            .otherwise(F.lit(1))
+            F.when(x < low, F.lit(-1))
+            .when(x > high, F.lit(SLICES))
+            .otherwise(F.coalesce(F.least(part, F.lit(SLICES - 1)), F.lit(0)))
         )
-        inside = F.when((F.col("_x") >= low) & (F.col("_x") <= high), F.col("_x"))
-        lanes.append(F.struct(F.lit(i).alias("lane"), slot.alias("slot"), inside.alias("y")))
+        inside = F.when((x >= low) & (x <= high), x)
+        lanes.append(F.struct(F.lit(i).alias("lane"), slot.cast("int").alias("slot"), inside.alias("y"), x.alias("x")))
+    cell = [*keys, "_lane", "_slot"]
     counted = (
         tagged.select(*keys, F.explode(F.array(*lanes)).alias("_l"))
-        .groupBy(*keys, F.col("_l.lane").alias("_lane"), F.col("_l.slot").alias("_slot"), F.col("_l.y").alias("_y"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .select(*keys, F.col("_l.lane").alias("_lane"), F.col("_l.slot").alias("_slot"), F.col("_l.y").alias("_y"), F.col("_l.x").alias("_x"))
+        .groupBy(*cell, "_y")
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     )
+    # which slices hold the wanted ranks: a running count over at most SLICES + 2 rows
     group = Window.partitionBy(*keys, "_lane")
-    upto = F.sum("_c").over(
-        group.orderBy("_slot", "_y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    placed = counted.withColumns({"_upto": upto, "_n": F.sum("_c").over(group)})
+    before = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counted.groupBy(*cell).agg(F.sum("_c").alias("_size"))
+    slices = slices.withColumns({
+        "_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(group),
+    })
     prob = F.element_at(F.array(*[F.lit(p) for p in levels]), F.col("_lane") + 1)
-    placed = placed.withColumn("_pos", prob * (F.col("_n") - 1))
+    slices = slices.withColumn("_pos", prob * (F.col("_n") - 1))
+    holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size"))
+    needed = slices.where(holds(F.floor("_pos")) | holds(F.ceil("_pos"))).drop("_size", "_n")
 
-    def holds(index):
-        return (F.col("_upto") - F.col("_c") <= index) & (index < F.col("_upto")) & (F.col("_slot") == 1)
+    inside_slice = Window.partitionBy(*cell).orderBy("_y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = null_safe_join(counted, needed, cell, "inner").withColumn(
+        "_upto", F.col("_before") + F.sum("_c").over(inside_slice)
+    )
+
+    def value_at(rank):
+        """Value at a 0-based rank: in the bracket, or next to it (small groups need that)."""
+        first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+        return F.max(
+            F.when((F.col("_slot") == -1) & (rank == last), F.col("_max"))
+            .when((F.col("_slot") == SLICES) & (rank == first), F.col("_min"))
+            .when(F.col("_y").isNotNull() & (first <= rank) & (rank <= last), F.col("_y"))
+        )
 
-    floor, ceil = F.floor("_pos"), F.ceil("_pos")
     picked = placed.groupBy(*keys, "_lane").agg(
-        F.max(F.when(holds(floor), F.col("_y"))).alias("_lo"),
-        F.max(F.when(holds(ceil), F.col("_y"))).alias("_hi"),
+        value_at(F.floor("_pos")).alias("_lo"),
+        value_at(F.ceil("_pos")).alias("_hi"),
         F.max(F.col("_pos") - F.floor("_pos")).alias("_w"),
     )
     missed = F.col("_lo").isNull() | F.col("_hi").isNull()

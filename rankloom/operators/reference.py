@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.groups import fits_one_task
 from rankloom.operators.joins import lookup
 from rankloom.operators.quantiles import exact_quantiles
 from rankloom.operators.skew import with_percent_rank
@@ -48,13 +49,14 @@ def price_tier(df: DataFrame, reference: DataFrame) -> DataFrame:
     overall = prices.agg(
         F.struct(F.avg("_price").alias("mean"), F.stddev_samp("_price").alias("std"))
     ).scalar()
-    overall_median = exact_quantiles(prices, [], "_price", {"m": 0.5}).scalar()
+    small = fits_one_task(prices)
+    overall_median = exact_quantiles(prices, [], "_price", {"m": 0.5}, small).scalar()
     tiers = prices.groupBy(*keys).agg(
         F.avg("_price").alias("price_tier_mean"),
         F.nullif(F.stddev_samp("_price"), F.lit(0.0)).alias("price_tier_std"),
         F.count("_price").alias("price_tier_count"),
     )
-    medians = exact_quantiles(prices, keys, "_price", {"price_tier_median": 0.5})
+    medians = exact_quantiles(prices, keys, "_price", {"price_tier_median": 0.5}, small)
     out = lookup(df, tiers.join(medians, keys, "left"), keys, {"price_tier_count": 0})
     spread = overall["std"]
     safe_spread = F.when(spread > 1e-6, spread).otherwise(F.lit(1.0))
@@ -83,8 +85,9 @@ def hotel_price_stats(df: DataFrame, reference: DataFrame) -> DataFrame:
 def impute_score2(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Null second location scores become the first quartile of the hotel's country."""
     score = "prop_location_score2"
-    quartile = exact_quantiles(reference, ["prop_country_id"], score, {"_q1": 0.25})
-    overall = exact_quantiles(reference, [], score, {"q": 0.25}).scalar()
+    small = fits_one_task(reference)
+    quartile = exact_quantiles(reference, ["prop_country_id"], score, {"_q1": 0.25}, small)
+    overall = exact_quantiles(reference, [], score, {"q": 0.25}, small).scalar()
     out = lookup(df, quartile, ["prop_country_id"])
     return out.withColumn(score, F.coalesce(F.col(score), F.col("_q1"), overall)).drop("_q1")
 
@@ -93,8 +96,9 @@ def distance_features(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Distance imputed by the country pair's median, then by the overall median."""
     keys = ["visitor_location_country_id", "prop_country_id"]
     distance = "orig_destination_distance"
-    pair = exact_quantiles(reference, keys, distance, {"orig_distance_country_pair_median": 0.5})
-    overall = exact_quantiles(reference, [], distance, {"m": 0.5}).scalar()
+    small = fits_one_task(reference)
+    pair = exact_quantiles(reference, keys, distance, {"orig_distance_country_pair_median": 0.5}, small)
+    overall = exact_quantiles(reference, [], distance, {"m": 0.5}, small).scalar()
     out = lookup(df, pair, keys, {"orig_distance_country_pair_median": overall})
     out = out.withColumns({
         "orig_distance_was_missing": F.col(distance).isNull().cast("int"),
@@ -113,8 +117,9 @@ def visitor_destination_popularity(df: DataFrame, reference: DataFrame) -> DataF
 def price_convention(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Price per night against the median of the (site, hotel country) market."""
     keys = ["site_id", "prop_country_id"]
-    market = exact_quantiles(reference, keys, "price_per_night", {"market_price_per_night_median": 0.5})
-    overall = exact_quantiles(reference, [], "price_per_night", {"m": 0.5}).scalar()
+    small = fits_one_task(reference)
+    market = exact_quantiles(reference, keys, "price_per_night", {"market_price_per_night_median": 0.5}, small)
+    overall = exact_quantiles(reference, [], "price_per_night", {"m": 0.5}, small).scalar()
     out = lookup(df, market, keys, {"market_price_per_night_median": overall})
     floor = F.greatest("market_price_per_night_median", F.lit(1.0))
     return out.withColumn("price_convention_residual", F.col("price_per_night") / floor)

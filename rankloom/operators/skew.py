@@ -21,62 +21,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.groups import AUTO, SEARCH, by_group_size, oversized_groups  # noqa: F401
+from rankloom.operators.nulls import null_safe_join
+from rankloom.operators.quantiles import bracket_quantiles
 from rankloom.session import cut_lineage
 
-LIMIT_CONF = "spark.rankloom.maxGroupRows"
-DEFAULT_LIMIT = 1_000_000
-
-AUTO = "auto"
-SEARCH = ("srch_id",)
-
-
-def group_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
-
-
-def oversized_groups(df: DataFrame, keys: Sequence[str] = SEARCH) -> DataFrame | None:
-    """Keys of the groups above the limit, or ``None`` when there are none.
-
-    At most rows/limit keys can qualify, so the table stays small.
-    """
-    big = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > group_limit(df))
-        .select(*keys)
-    )
-    return None if big.isEmpty() else cut_lineage(big)
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` where null equals null; right key columns are dropped."""
-    renamed = right.select(*[
-        F.col(c).alias(f"__right_{c}") if c in keys else F.col(c) for c in right.columns
-    ])
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__right_{key}"))
-    joined = left.join(renamed, condition, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__right_{k}" for k in keys])
-
-
-def by_group_size(
-    df: DataFrame,
-    keys: Sequence[str],
-    small: Callable[[DataFrame], DataFrame],
-    large: Callable[[DataFrame], DataFrame],
-    oversized: DataFrame | None | str = AUTO,
-) -> DataFrame:
-    """Apply ``small`` to normal groups and ``large`` to oversized ones."""
-    big = oversized_groups(df, keys) if isinstance(oversized, str) else oversized
-    if big is None:
-        return small(df)
-    key_cols = [k for k in keys if k in big.columns]
-    low = small(null_safe_join(df, big, key_cols, "left_anti"))
-    high = large(null_safe_join(df, big, key_cols, "left_semi"))
-    return low.unionByName(high)
-
-
 # --- plain statistics -------------------------------------------------------
 
 def with_group_stats(
@@ -104,15 +53,13 @@ def with_group_median(
     oversized: DataFrame | None | str = AUTO,
 ) -> DataFrame:
     """Attach exact medians: ``{output: column}``."""
-    from rankloom.operators.quantiles import exact_quantiles
-
     def small(part: DataFrame) -> DataFrame:
         window = Window.partitionBy(*keys)
         return part.withColumns({out: F.median(col).over(window) for out, col in medians.items()})
 
     def large(part: DataFrame) -> DataFrame:
         for out, col in medians.items():
-            part = null_safe_join(part, exact_quantiles(part, keys, col, {out: 0.5}), keys, "left")
+            part = null_safe_join(part, bracket_quantiles(part, keys, col, {out: 0.5}), keys, "left")
         return part
 
     return by_group_size(df, keys, small, large, oversized)
