@@ -13,6 +13,7 @@ from rankloom.catalog import (  # noqa: F401  (importing registers the queries)
     j_fusion,
     k_metrics,
     l_profile,
+    m_jobs,
 )
 from rankloom.catalog.base import REGISTRY
 

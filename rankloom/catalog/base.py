@@ -13,9 +13,11 @@ from rankloom.functions.rows import window_bucket
 from rankloom.functions.snap import snap, snap_sql
 from rankloom.operators.sampling import with_folds
 from rankloom.operators.skew import SEARCH, oversized_groups
+from rankloom.session import stage_table
 from rankloom.sources.adapter import LOG_EXPRESSIONS, search_log
 
 SCORES = ["s1", "s2", "s3", "s4"]
+_staged: dict[tuple[str, str], DataFrame] = {}
 _oversized: dict[tuple[str, str], DataFrame | None] = {}
 
 
@@ -28,7 +30,13 @@ class Context:
 
     @cached_property
     def log(self) -> DataFrame:
-        return search_log(self.spark, self.sf_dir)
+        """The search log, loaded once per session into a parquet stage in the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _staged:
+            # range order keeps the rows of a search together and splits a huge search
+            ordered = search_log(self.spark, self.sf_dir).repartitionByRange("srch_id", "prop_id")
+            _staged[key] = stage_table(ordered, "log")
+        return _staged[key]
 
     @cached_property
     def big(self) -> DataFrame | None:

@@ -21,12 +21,12 @@ def group_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    """True when the whole frame is within the group limit."""
-    return df.count() <= group_limit(df)
+def fits_one_task(df: DataFrame, weight: int = 1) -> bool:
+    """True when the whole frame, each row counting ``weight`` times, is within the group limit."""
+    return df.count() * weight <= group_limit(df)
 
 
-def oversized_groups(df: DataFrame, keys: Sequence[str] = SEARCH) -> DataFrame | None:
+def oversized_groups(df: DataFrame, keys: Sequence[str] = SEARCH, weight: int = 1) -> DataFrame | None:
     """Keys of the groups above the limit, or ``None`` when there are none.
 
     At most rows/limit keys can qualify, so the table stays small.
@@ -34,7 +34,7 @@ def oversized_groups(df: DataFrame, keys: Sequence[str] = SEARCH) -> DataFrame |
     big = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > group_limit(df))
+        .where(F.col("_n") * weight > group_limit(df))
         .select(*keys)
     )
     return None if big.isEmpty() else cut_lineage(big)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.rows import relevance
+from rankloom.operators.groups import fits_one_task
 from rankloom.operators.nulls import null_safe_join
 from rankloom.operators.joins import top_k
 from rankloom.operators.skew import value_ranks
@@ -170,8 +171,9 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     shared by many rows is one row there.
     """
     out = df.select(*columns)
+    small = fits_one_task(out)
     for c in columns:
-        ranks = value_ranks(df.select(c), [], c).select(c, F.col("_avg_rank").alias(f"_r_{c}"))
+        ranks = value_ranks(df.select(c), [], c, small).select(c, F.col("_avg_rank").alias(f"_r_{c}"))
         out = null_safe_join(out, ranks, [c], "left")
     return correlation_pairs(out, [(a, b, f"_r_{a}", f"_r_{b}") for a in columns for b in columns])
 

@@ -2,7 +2,7 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation state,
 which is right for groups within the row limit. For larger ones a bounded sketch first brackets the wanted order statistic; values inside
-the bracket are then counted exactly, all others are only tallied. The bracket is
+the bracket are then counted exactly, all others are only tallied. Brackets are
 cut into slices; a running count over the slices finds the one that holds the
 wanted rank, and only that slice is put in order. Every step aggregates before
 its shuffle.
@@ -11,16 +11,19 @@ its shuffle.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.groups import by_group_size, fits_one_task
+from rankloom.operators.groups import by_group_size, fits_one_task, oversized_groups
 from rankloom.operators.nulls import null_safe_join
 
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY
 SLICES = 1024
+STATE_COST = 10  # a value in an aggregation state weighs as much as this many plain rows
 
 
 def exact_quantiles(
@@ -33,16 +36,25 @@ def exact_quantiles(
     values = df.select(*keys, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
 
     def plain(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).agg(*[F.percentile("_x", float(p)).alias(n) for n, p in probs.items()])
+        levels = F.array(*[F.lit(float(p)) for p in probs.values()])
+        found = part.groupBy(*keys).agg(F.percentile("_x", levels).alias("_q"))  # one state for all levels
+        return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
-    if fits_one_task(values) if small is None else small:
+    if fits_one_task(values, STATE_COST) if small is None else small:
         return plain(values)
     sliced = lambda part: bracket_quantiles(part, keys, "_x", probs)
-    return by_group_size(values, keys, plain, sliced) if keys else sliced(values)
+    if not keys:
+        return sliced(values)
+    return by_group_size(values, keys, plain, sliced, oversized_groups(values, keys, STATE_COST))
 
 
 def bracket_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mapping[str, float]) -> DataFrame:
-    """The route for large groups."""
+    """The route for large groups.
+
+    Each row falls into one cell of an ordered partition of the value range: a
+    slice of a bracket, or the stretch between two brackets. Counts of the cells
+    give every rank its cell; only the cells that hold a wanted rank are sorted.
+    """
     names = list(probs)
     levels = [float(probs[n]) for n in names]
     bounds = [b for p in levels for b in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
@@ -54,60 +66,56 @@ def bracket_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Mappi
     else:
         tagged = values.withColumn("_edges", values.agg(sketch_of).scalar())
 
-    edge, x = F.col("_edges"), F.col("_x")
-    lanes = []
-    for i in range(len(levels)):
-        low, high = edge[2 * i], edge[2 * i + 1]
-        part = F.floor((x - low) / F.nullif(high - low, F.lit(0.0)) * SLICES)
-        slot = (
-            F.when(x < low, F.lit(-1))
-            .when(x > high, F.lit(SLICES))
-            .otherwise(F.coalesce(F.least(part, F.lit(SLICES - 1)), F.lit(0)))
-        )
-        inside = F.when((x >= low) & (x <= high), x)
-        lanes.append(F.struct(F.lit(i).alias("lane"), slot.cast("int").alias("slot"), inside.alias("y"), x.alias("x")))
-    cell = [*keys, "_lane", "_slot"]
-    counted = (
-        tagged.select(*keys, F.explode(F.array(*lanes)).alias("_l"))
-        .select(*keys, F.col("_l.lane").alias("_lane"), F.col("_l.slot").alias("_slot"), F.col("_l.y").alias("_y"), F.col("_l.x").alias("_x"))
-        .groupBy(*cell, "_y")
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    x = F.col("_x")
+    edges = [F.col("_edges")[i] for i in range(len(bounds))]
+    zone = reduce(add, [(e <= x).cast("int") + (e < x).cast("int") for e in edges])
+    inside = reduce(or_, [(low <= x) & (x <= high) for low, high in zip(edges[::2], edges[1::2])])
+    floor_edge = F.greatest(*[F.when(e <= x, e) for e in edges], F.lit(None))
+    ceil_edge = F.least(*[F.when(e >= x, e) for e in edges], F.lit(None))
+    part = F.floor((x - floor_edge) / F.nullif(ceil_edge - floor_edge, F.lit(0.0)) * SLICES)
+    tagged = tagged.withColumns({
+        "_zone": zone,
+        "_slice": F.when(inside, F.coalesce(F.least(part, F.lit(SLICES - 1)), F.lit(0))).otherwise(0).cast("int"),
+        "_y": F.when(inside, x),
+    })
+    cell = [*keys, "_zone", "_slice"]
+    counted = tagged.groupBy(*cell, "_y").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
     )
-    # which slices hold the wanted ranks: a running count over at most SLICES + 2 rows
-    group = Window.partitionBy(*keys, "_lane")
-    before = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slices = counted.groupBy(*cell).agg(F.sum("_c").alias("_size"))
-    slices = slices.withColumns({
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_zone", "_slice").rowsBetween(Window.unboundedPreceding, -1)
+    cells = counted.groupBy(*cell).agg(F.sum("_c").alias("_size")).withColumns({
         "_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(group),
     })
-    prob = F.element_at(F.array(*[F.lit(p) for p in levels]), F.col("_lane") + 1)
-    slices = slices.withColumn("_pos", prob * (F.col("_n") - 1))
+    places = [F.lit(p) * (F.col("_n") - 1) for p in levels]
     holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size"))
-    needed = slices.where(holds(F.floor("_pos")) | holds(F.ceil("_pos"))).drop("_size", "_n")
+    wanted = reduce(or_, [holds(F.floor(pos)) | holds(F.ceil(pos)) for pos in places])
+    needed = cells.where(wanted).drop("_size")
 
-    inside_slice = Window.partitionBy(*cell).orderBy("_y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*cell).orderBy("_y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = null_safe_join(counted, needed, cell, "inner").withColumn(
-        "_upto", F.col("_before") + F.sum("_c").over(inside_slice)
+        "_upto", F.col("_before") + F.sum("_c").over(within)
     )
+    first, last, y = F.col("_upto") - F.col("_c"), F.col("_upto") - 1, F.col("_y")
 
     def value_at(rank):
-        """Value at a 0-based rank: in the bracket, or next to it (small groups need that)."""
-        first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
+        """Value at a 0-based rank: in a bracket, or next to one (small groups need that)."""
         return F.max(
-            F.when((F.col("_slot") == -1) & (rank == last), F.col("_max"))
-            .when((F.col("_slot") == SLICES) & (rank == first), F.col("_min"))
-            .when(F.col("_y").isNotNull() & (first <= rank) & (rank <= last), F.col("_y"))
+            F.when(y.isNotNull() & (first <= rank) & (rank <= last), y)
+            .when(y.isNull() & (rank == last), F.col("_max"))
+            .when(y.isNull() & (rank == first), F.col("_min"))
         )
 
-    picked = placed.groupBy(*keys, "_lane").agg(
-        value_at(F.floor("_pos")).alias("_lo"),
-        value_at(F.ceil("_pos")).alias("_hi"),
-        F.max(F.col("_pos") - F.floor("_pos")).alias("_w"),
-    )
-    missed = F.col("_lo").isNull() | F.col("_hi").isNull()
-    value = F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
-        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")
-    )
-    return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_lane") == i, value)).alias(name) for i, name in enumerate(names)
+    picked = placed.groupBy(*keys).agg(*[
+        F.struct(
+            value_at(F.floor(pos)).alias("lo"), value_at(F.ceil(pos)).alias("hi"), F.max(pos - F.floor(pos)).alias("w")
+        ).alias(f"_p{i}")
+        for i, pos in enumerate(places)
     ])
+
+    def value(i: int):
+        lo, hi, w = (F.col(f"_p{i}")[f] for f in ("lo", "hi", "w"))
+        missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+        return F.when(w.isNull(), None).when(lo.isNull() | hi.isNull(), missed).otherwise(lo + (hi - lo) * w)
+
+    return picked.select(*keys, *[value(i).alias(n) for i, n in enumerate(names)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.groups import fits_one_task
 from rankloom.operators.joins import lookup
-from rankloom.operators.quantiles import exact_quantiles
+from rankloom.operators.quantiles import STATE_COST, exact_quantiles
 from rankloom.operators.skew import with_percent_rank
 
 
@@ -49,7 +49,7 @@ def price_tier(df: DataFrame, reference: DataFrame) -> DataFrame:
     overall = prices.agg(
         F.struct(F.avg("_price").alias("mean"), F.stddev_samp("_price").alias("std"))
     ).scalar()
-    small = fits_one_task(prices)
+    small = fits_one_task(prices, STATE_COST)
     overall_median = exact_quantiles(prices, [], "_price", {"m": 0.5}, small).scalar()
     tiers = prices.groupBy(*keys).agg(
         F.avg("_price").alias("price_tier_mean"),
@@ -85,7 +85,7 @@ def hotel_price_stats(df: DataFrame, reference: DataFrame) -> DataFrame:
 def impute_score2(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Null second location scores become the first quartile of the hotel's country."""
     score = "prop_location_score2"
-    small = fits_one_task(reference)
+    small = fits_one_task(reference, STATE_COST)
     quartile = exact_quantiles(reference, ["prop_country_id"], score, {"_q1": 0.25}, small)
     overall = exact_quantiles(reference, [], score, {"q": 0.25}, small).scalar()
     out = lookup(df, quartile, ["prop_country_id"])
@@ -96,7 +96,7 @@ def distance_features(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Distance imputed by the country pair's median, then by the overall median."""
     keys = ["visitor_location_country_id", "prop_country_id"]
     distance = "orig_destination_distance"
-    small = fits_one_task(reference)
+    small = fits_one_task(reference, STATE_COST)
     pair = exact_quantiles(reference, keys, distance, {"orig_distance_country_pair_median": 0.5}, small)
     overall = exact_quantiles(reference, [], distance, {"m": 0.5}, small).scalar()
     out = lookup(df, pair, keys, {"orig_distance_country_pair_median": overall})
@@ -117,7 +117,7 @@ def visitor_destination_popularity(df: DataFrame, reference: DataFrame) -> DataF
 def price_convention(df: DataFrame, reference: DataFrame) -> DataFrame:
     """Price per night against the median of the (site, hotel country) market."""
     keys = ["site_id", "prop_country_id"]
-    small = fits_one_task(reference)
+    small = fits_one_task(reference, STATE_COST)
     market = exact_quantiles(reference, keys, "price_per_night", {"market_price_per_night_median": 0.5}, small)
     overall = exact_quantiles(reference, [], "price_per_night", {"m": 0.5}, small).scalar()
     out = lookup(df, market, keys, {"market_price_per_night_median": overall})

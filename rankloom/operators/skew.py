@@ -111,16 +111,22 @@ def with_position(
     return by_group_size(df, keys, small, large, oversized)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], col: str, small: bool = False) -> DataFrame:
     """Average rank of each distinct value in its group: ``keys, col, _avg_rank, _n``.
 
     Equal values are counted first, so copies of one value never travel twice.
+    ``small`` tells that no group exceeds the limit; then no range sort is needed.
     """
     counts = (
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, col)
         .agg(F.count(F.lit(1)).alias("_ties"))
     )
+    if small:
+        whole = Window.partitionBy(*keys)
+        upto = F.sum("_ties").over(whole.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+        average = upto - F.col("_ties") + (F.col("_ties") + 1) / 2
+        return counts.select(*keys, col, average.alias("_avg_rank"), F.sum("_ties").over(whole).alias("_n"))
     chunks = range_chunks(counts, keys, [F.col(col)])
     borders = _carry(chunks, keys, F.sum("_ties"), F.sum)
     inside = (

@@ -22,6 +22,9 @@ def build_session(app: str = "rankloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # methods above this size are never compiled by the JVM's JIT; wide projections
+        # then run several times faster outside whole-stage code
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     settings.update(conf)

@@ -77,6 +77,12 @@ def test_exact_quantiles_against_numpy(spark, n):
                 assert r[name] == pytest.approx(np.quantile(pdf.loc[pdf["k"] == r["k"], "x"], p), abs=1e-9)
 
 
+def test_value_ranks_routes_agree(spark, log):
+    plain = rows_of(skew.value_ranks(log, [], "price_usd", small=True), "price_usd")
+    ranged = rows_of(skew.value_ranks(log, [], "price_usd"), "price_usd")
+    np.testing.assert_allclose(plain.astype(float), ranged.astype(float))
+
+
 def test_quantiles_split_by_group_size(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id") % 9).alias("k"), ((F.col("id") * 31) % 977).cast("double").alias("x"))
     pdf = df.toPandas()
