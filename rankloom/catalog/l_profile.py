@@ -183,7 +183,7 @@ _NUMERIC = [c for c in LOG_COLUMNS if c not in _EXCLUDED and c not in ("click_bo
 
 def _correlates_sql(label: str, key: str) -> str:
     parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{label}' AS label, corr({c}, {label}) AS r FROM log" for c in _NUMERIC)
-    return f"\n, h AS ({parts})\nSELECT * FROM h WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY {key} DESC, \"column\" LIMIT 15"
+    return f"\n, h AS ({parts})\nSELECT * FROM h WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY round({key}, 9) DESC, \"column\" LIMIT 15"
 
 
 @query("L14_top_correlates", _correlates_sql("booking_bool", "r"), exact="column label", d6="r")

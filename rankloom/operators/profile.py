@@ -180,9 +180,12 @@ def quantile_bin_rates(
 
 
 def label_correlates(df: DataFrame, columns: Sequence[str], label: str, top: int | None = 15, absolute: bool = False) -> DataFrame:
-    """Correlation of each column with a label, strongest first."""
+    """Correlation of each column with a label, strongest first.
+
+    Columns equal to 9 digits tie and go by name: summation order must not rank them.
+    """
     table = correlation_pairs(df, [(c, label, c, label) for c in columns]).where(F.col("r").isNotNull())
-    key = F.abs("r") if absolute else F.col("r")
+    key = F.round(F.abs("r") if absolute else F.col("r"), 9)
     ordered = table.select(F.col("column_a").alias("column"), F.col("column_b").alias("label"), "r").orderBy(
         key.desc(), "column"
     )
