@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
+from rankloom.llm.pseudonyms import pseudonymise
+
+#: Key of the registered queries. A production run passes its own secret.
+DEMO_KEY = "rankloom-demo-key"
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, DEMO_KEY, count_col="n_replaced")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op5_exact_dedup": op5_exact_dedup,
+}
 
 SQL = {
     "op5_exact_dedup": r"""
