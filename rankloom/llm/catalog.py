@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
 from rankloom.llm.pseudonyms import pseudonymise
+from rankloom.llm.toxicity import fit_severity, with_severity
 
 #: Key of the registered queries. A production run passes its own secret.
 DEMO_KEY = "rankloom-demo-key"
@@ -21,9 +22,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_severity(docs, table(spark, sf_dir, "labels"))
+    scored = with_severity(docs, model, chance_col="toxic_chance")
+    return scored.select("doc_id", "severity", "toxic_chance", (scored.severity >= 0.5).alias("rejected"))
+
+
 QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_toxic_severity": op10_toxic_severity,
 }
 
 SQL = {
