@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
+from rankloom.llm.packing import pack_documents, with_checksum
 from rankloom.llm.pseudonyms import pseudonymise
 from rankloom.llm.toxicity import fit_severity, with_severity
 
@@ -18,6 +20,11 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, DEMO_KEY, count_col="n_replaced")
 
 
+def op3_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_checksum(pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
@@ -31,6 +38,7 @@ def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_min_slack_packing": op3_min_slack_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_toxic_severity": op10_toxic_severity,
 }
