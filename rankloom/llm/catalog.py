@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
+from rankloom.llm.near_dedup import near_duplicates
 from rankloom.llm.packing import pack_documents, with_checksum
 from rankloom.llm.pseudonyms import pseudonymise
 from rankloom.llm.toxicity import fit_severity, with_severity
@@ -29,6 +30,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_row")
+
+
 def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_severity(docs, table(spark, sf_dir, "labels"))
@@ -40,6 +45,7 @@ QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_min_slack_packing": op3_min_slack_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_bag_minhash": op8_bag_minhash,
     "op10_toxic_severity": op10_toxic_severity,
 }
 
