@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
 from rankloom.llm.near_dedup import near_duplicates
@@ -47,6 +48,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bag_minhash": op8_bag_minhash,
     "op10_toxic_severity": op10_toxic_severity,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
