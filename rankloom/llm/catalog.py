@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from rankloom.llm.boilerplate import BLOCKS, HIDDEN, HOST, MIN_PAGES, RATIO, page_text_without_boilerplate
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
+from rankloom.llm.language import learn_profiles, with_language
 from rankloom.llm.near_dedup import near_duplicates
 from rankloom.llm.packing import pack_documents, with_checksum
 from rankloom.llm.pseudonyms import pseudonymise
@@ -17,6 +20,10 @@ from rankloom.llm.toxicity import fit_severity, with_severity
 DEMO_KEY = "rankloom-demo-key"
 
 
+def op1_site_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text_without_boilerplate(table(spark, sf_dir, "pages"))
+
+
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonymise(docs, DEMO_KEY, count_col="n_replaced")
@@ -35,6 +42,14 @@ def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    profiles = learn_profiles(docs.filter(rest != 2))
+    found = with_language(docs, profiles)
+    return found.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_severity(docs, table(spark, sf_dir, "labels"))
@@ -43,15 +58,36 @@ def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_site_boilerplate": op1_site_boilerplate,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_min_slack_packing": op3_min_slack_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_bag_minhash": op8_bag_minhash,
+    "op9_rank_order_language": op9_rank_order_language,
     "op10_toxic_severity": op10_toxic_severity,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
+    "op1_site_boilerplate": rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      coalesce(html, ''), '{HIDDEN[0]}', '', 'g'), '{HIDDEN[1]}', '', 'g'), '{HIDDEN[2]}', '', 'g'),
+      '(?i)</?(?:{BLOCKS})(?:[\s/][^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)),
+      lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS lines
+  FROM pages),
+totals AS (SELECT host, count(*) AS host_pages FROM p WHERE host IS NOT NULL GROUP BY host),
+seen AS (SELECT DISTINCT rid, host, unnest(lines) AS line FROM p WHERE host IS NOT NULL),
+flagged AS (
+  SELECT s.host, list(s.line) AS dropped FROM (SELECT host, line, count(*) AS n FROM seen GROUP BY host, line) s
+  JOIN totals t ON s.host = t.host WHERE n >= {MIN_PAGES} AND n / host_pages > {RATIO} GROUP BY s.host),
+kept AS (SELECT p.*, host_pages, list_filter(lines, lambda x: NOT list_contains(coalesce(dropped, []), x)) AS own
+  FROM p LEFT JOIN totals t ON p.host = t.host LEFT JOIN flagged f ON p.host = f.host)
+SELECT page_id, host, host_pages, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(own) AS BIGINT) AS n_dropped,
+  coalesce(array_to_string(own, chr(10)), '') AS text
+FROM kept
+""",
     "op5_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
