@@ -14,6 +14,7 @@ from rankloom.llm.language import learn_profiles, with_language
 from rankloom.llm.near_dedup import near_duplicates
 from rankloom.llm.packing import pack_documents, with_checksum
 from rankloom.llm.pseudonyms import pseudonymise
+from rankloom.llm.sentencepiece_backend import encode_documents
 from rankloom.llm.toxicity import fit_severity, with_severity
 
 #: Key of the registered queries. A production run passes its own secret.
@@ -38,6 +39,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_decoded=False)
+    return coded.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "round_trip", "parity")
+
+
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
@@ -62,6 +69,7 @@ QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_min_slack_packing": op3_min_slack_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_bag_minhash": op8_bag_minhash,
     "op9_rank_order_language": op9_rank_order_language,
     "op10_toxic_severity": op10_toxic_severity,

@@ -8,10 +8,9 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
-from rankloom.llm.wordhash import joined, span_hashes
+from rankloom.llm.wordcache import WordCache
+from rankloom.llm.wordhash import joined
 
-#: Distinct words whose ids a worker remembers (about 50 bytes each); beyond that it starts anew.
-CACHE_WORDS = 2_000_000
 #: Distinct pre-tokens that are remembered while new words are met.
 CACHE_PARTS = 250_000
 #: Signs that end a word as pre-tokens of their own.
@@ -32,7 +31,7 @@ class WordEncoder:
     always begins a pre-token, as does a sign after a letter. So a text is the sum of its words, each
     with the blank before it, and repeated words are encoded once. Texts in which another white
     space, or the end, follows a blank are encoded whole, as are those with a special token, and
-    all texts if the tokenizer is of another kind. Words are told apart by two 64-bit hashes.
+    all texts if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
@@ -42,19 +41,13 @@ class WordEncoder:
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unusual = re.compile("|".join([r" (?:\s|$)", *map(re.escape, specials)]))
         self.letters = _byte_letters()
-        self.forget()
-
-    def forget(self) -> None:
-        """The words that are known, in the order of their first hash: hashes, and where their ids lie in ``flat``."""
-        self.one, self.two = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.place, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.parts: dict[str, list[int]] = {}
+        self.cache = WordCache(self._learn)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, data: bytes, spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-        """(all ids, ids a word) of new words."""
+    def _learn(self, words: list[bytes]) -> list[list[int]]:
         parts, tokenize = self.parts, self.tokenizer.model.tokenize
         if len(parts) > CACHE_PARTS:
             parts.clear()
@@ -65,18 +58,15 @@ class WordEncoder:
                 ids = parts[text] = [t.id for t in tokenize(text.encode().decode("latin-1").translate(self.letters))]
             return ids
 
-        flat, sizes = [], []
-        for start, end in spans:
-            word = data[start:end].decode()
+        lists = []
+        for word in map(bytes.decode, words):
             core = word.rstrip(TAIL)
             tail = word[len(core):]
             if core.removeprefix(" ").isalpha():
-                ids = part(core) + part(tail) if tail else part(core)
+                lists.append(part(core) + part(tail) if tail else part(core))
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            flat.extend(ids)
-            sizes.append(len(ids))
-        return flat, sizes
+                lists.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return lists
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_word and not self.unusual.search(t) for t in texts]
@@ -86,8 +76,6 @@ class WordEncoder:
 
     def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
         """A unit is a word with the blank before it; a text begins with a unit without one."""
-        if len(self.one) > CACHE_WORDS:
-            self.forget()
         data, begins = joined(texts)
         first = begins[:-1][np.diff(begins) > 1]  # an empty text has no unit
         heads = np.zeros(len(data) + 1, bool)
@@ -96,33 +84,9 @@ class WordEncoder:
         last = begins[1:] - 1  # the line feed after each text
         starts = np.flatnonzero(heads[:-1])
         ends = np.minimum(np.append(starts[1:], len(data)), last[np.searchsorted(last, starts)])
-        one, two = span_hashes(data, starts, ends, 1), span_hashes(data, starts, ends, 2)
-        _, index, inverse = np.unique(one, return_index=True, return_inverse=True)
-        if (two != two[index][inverse]).any():
-            raise RuntimeError("two words share a hash")
-        one, two = one[index], two[index]
-        at = np.searchsorted(self.one, one)
-        at[at == len(self.one)] = 0
-        new = np.flatnonzero(self.one[at] != one) if len(self.one) else np.arange(len(one))
-        if len(new):
-            flat, sizes = self._learn(data.tobytes(), list(zip(starts[index[new]].tolist(), ends[index[new]].tolist())))
-            sizes = np.array(sizes, np.int64)
-            order = np.argsort(np.concatenate([self.one, one[new]]), kind="stable")
-            self.place = np.concatenate([self.place, len(self.flat) + np.cumsum(sizes) - sizes])[order]
-            self.size = np.concatenate([self.size, sizes])[order]
-            self.flat = np.concatenate([self.flat, np.array(flat, np.uint32)])
-            self.one, self.two = np.concatenate([self.one, one[new]])[order], np.concatenate([self.two, two[new]])[order]
-            at = np.searchsorted(self.one, one)
-        if (self.two[at] != two).any():
-            raise RuntimeError("two words share a hash")
-        size, place, flat = self.size[at], self.place[at], self.flat
-        own = size[inverse]
-        after = np.cumsum(own)
-        gather = np.arange(after[-1] if len(after) else 0) + np.repeat(place[inverse] - (after - own), own)
-        total = np.concatenate([[0], after])
-        edges = total[np.searchsorted(starts, begins)]
-        out = flat[gather]
-        return [out[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        ids, before = self.cache.ids(data, starts, ends)
+        edges = before[np.searchsorted(starts, begins)].tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=2)
