@@ -15,6 +15,7 @@ from rankloom.llm.near_dedup import near_duplicates
 from rankloom.llm.packing import pack_documents, with_checksum
 from rankloom.llm.pseudonyms import pseudonymise
 from rankloom.llm.sentencepiece_backend import encode_documents
+from rankloom.llm.substring_dedup import remove_repeats
 from rankloom.llm.toxicity import fit_severity, with_severity
 
 #: Key of the registered queries. A production run passes its own secret.
@@ -39,6 +40,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op6_count_min_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_decoded=False)
@@ -69,6 +75,7 @@ QUERIES = {
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_min_slack_packing": op3_min_slack_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_count_min_passages": op6_count_min_passages,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_bag_minhash": op8_bag_minhash,
     "op9_rank_order_language": op9_rank_order_language,
@@ -77,6 +84,23 @@ QUERIES = {
 }
 
 SQL = {
+    "op6_count_min_passages": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (
+  SELECT rid, unnest(range(1, len(ws) - 33)) AS j, unnest(list_transform(range(1, len(ws) - 33), lambda i: array_to_string(ws[i:i + 34], ' '))) AS seq
+  FROM d WHERE len(ws) >= 35),
+flags AS (SELECT rid, j, count(*) OVER (PARTITION BY seq) > 1 AS again FROM starts),
+words AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM d),
+marked AS (
+  SELECT w.rid, w.j, word, coalesce(max(CASE WHEN again THEN 1 ELSE 0 END) OVER (
+    PARTITION BY w.rid ORDER BY w.j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM words w LEFT JOIN flags f ON w.rid = f.rid AND w.j = f.j),
+kept AS (
+  SELECT rid, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone) AS t
+  FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.rid = kept.rid
+""",
     "op1_site_boilerplate": rf"""
 WITH p AS (
   SELECT row_number() OVER () AS rid, page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host,
