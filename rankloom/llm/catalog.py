@@ -13,6 +13,7 @@ from rankloom.llm.exact_dedup import exact_duplicates
 from rankloom.llm.language import learn_profiles, with_language
 from rankloom.llm.near_dedup import near_duplicates
 from rankloom.llm.packing import pack_documents, with_checksum
+from rankloom.llm.prefix_forest import nearest
 from rankloom.llm.pseudonyms import pseudonymise
 from rankloom.llm.sentencepiece_backend import encode_documents
 from rankloom.llm.substring_dedup import remove_repeats
@@ -36,6 +37,10 @@ def op3_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksum(pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("_row")
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_site_boilerplate": op1_site_boilerplate,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
     "op3_min_slack_packing": op3_min_slack_packing,
+    "op4_prefix_forest": op4_prefix_forest,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_count_min_passages": op6_count_min_passages,
     "op7_sentencepiece": op7_sentencepiece,
