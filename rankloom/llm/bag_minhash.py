@@ -73,7 +73,7 @@ def signatures(doc: np.ndarray, element: np.ndarray, count: np.ndarray, n_docs:
     part = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
     of, rate = doc[owner], rate_of[part]
     reach = np.minimum((count[owner] - low[part]) / rate, 1.0)
-    state = mix(element[owner] + STEP * (part + 1).astype(np.uint64))
+    state = mix(mix(element[owner]) + STEP * (part + 1).astype(np.uint64))
     time = -np.log(_unit(state)) / rate
 
     table = np.full(n_docs * registers, np.inf)
