@@ -8,9 +8,9 @@ total, finds the fullest completion, and backtracking through its layers gives h
 of each length it takes. A pattern found once is used as often as the counts allow.
 
 Each task packs the remainders of its own rows, so nothing is shuffled, and holds the ids of at
-most ``pool`` remainders. While rows still come, a window that cannot be filled to ``good`` waits for
-later rows. At the end of the task the rest is packed; if more than one window stays unfilled,
-the last pieces are cut so that all but one of them are full.
+most ``pool`` remainders. A window that cannot be filled to ``good`` waits for
+later rows. Pieces that still wait when the pool is half full of them, or at the end of the task, are
+cut so that they fill windows; one window a task stays unfilled.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ class _Packer:
             if self.held >= self.pool:
                 self.pack(self.good)
                 if self.held > self.pool // 2:
-                    self.pack(1)
+                    self.line_up()
 
     def emit(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -123,12 +123,10 @@ class _Packer:
             for _ in range(times):
                 self.emit(self.take(pattern))
 
-    def finish(self) -> None:
-        """Fill what can be filled; then line up the rest and cut it at the capacity."""
-        self.pack(self.good)
+    def line_up(self) -> None:
+        """Put waiting pieces end to end and cut them at the capacity; what fills no window waits on."""
         rest = [p for k in sorted(self.waiting, reverse=True) for p in self.waiting[k]]
         self.waiting.clear()
-        self.held = 0
         window, room = [], self.capacity
         for doc_id, start, ids, size in rest:
             while len(ids):
@@ -138,8 +136,18 @@ class _Packer:
                 if not room:
                     self.emit(window)
                     window, room = [], self.capacity
-        if window:
-            self.emit(window)
+        for piece in window:
+            self.waiting[len(piece[2])].append(piece)
+        self.held = len(window)
+
+    def finish(self) -> None:
+        """Fill what can be filled; the rest is cut into full windows and a last one."""
+        self.pack(self.good)
+        self.line_up()
+        if self.held:
+            self.emit([p for k in sorted(self.waiting, reverse=True) for p in self.waiting[k]])
+            self.waiting.clear()
+            self.held = 0
 
     def drain(self, schema: pa.Schema) -> pa.RecordBatch:
         rows, self.out = self.out, []
