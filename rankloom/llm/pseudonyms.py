@@ -10,7 +10,8 @@ shuffled: every row is rewritten where it lies.
 kind         a value counts when                                kept as it is
 ============ ================================================== ==============================
 email        name and dotted domain                             domain, signs of the name
-phone        ten digits, area and exchange from 200 up          country code, punctuation
+phone        ten digits after a country code; without one,      country code, punctuation
+             area and exchange from 200 up
 card         13 to 19 digits with a right Luhn sum              first digit, punctuation
 iban         right remainder modulo 97                          country, letter/digit places
 ipv4         four numbers up to 255, no leading zero            -
@@ -49,7 +50,7 @@ PATTERNS = {
     "date": r"(?<![\w./\-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/\-]|\.\d)",
     "ipv4": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w+])(?:\+1[ .\-]?)?(?:\([2-9]\d{2}\)|[2-9]\d{2})[ .\-]?[2-9]\d{2}[ .\-]?\d{4}(?!\w)",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}|(?:\([2-9]\d{2}\)|[2-9]\d{2})[ .\-]?[2-9]\d{2})[ .\-]?\d{4}(?!\w)",
     "card": r"(?<!\w)\d(?:[ \-]?\d){12,18}(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
@@ -142,12 +143,14 @@ def _card(text: Column, key: str) -> Column:
 
 def _phone(text: Column, key: str) -> Column:
     def moved(digits: Column) -> Column:
-        number = F.substring(digits, -10, 10)
-        lead = lambda i: i.isin(0, 3)
-        values = F.transform(_ints(number), lambda d, i: d - F.when(lead(i), F.lit(2)).otherwise(F.lit(0)))
-        radix = F.transform(values, lambda _, i: F.when(lead(i), F.lit(8)).otherwise(F.lit(10)))
+        number = _ints(F.substring(digits, -10, 10))
+        # the first digits of area and exchange stay below 2, or from 2 up, as they were
+        high = lambda d, i: i.isin(0, 3) & (d >= 2)
+        base = lambda d, i: F.when(high(d, i), F.lit(2)).otherwise(F.lit(0))
+        values = F.transform(number, lambda d, i: d - base(d, i))
+        radix = F.transform(number, lambda d, i: F.when(high(d, i), F.lit(8)).when(i.isin(0, 3), F.lit(2)).otherwise(F.lit(10)))
         new = _let(feistel(values, radix, "phone", key), lambda v: F.array_join(
-            F.transform(v, lambda d, i: (d + F.when(lead(i), F.lit(2)).otherwise(F.lit(0))).cast("string")), ""))
+            F.transform(v, lambda d, i: (d + base(F.element_at(number, i + 1), i)).cast("string")), ""))
         country = F.substring(digits, F.lit(1), F.length(digits) - 10)
         return _let(_chars(F.concat(country, new)), lambda chars: _poured(text, chars, "[0-9]"))
 
