@@ -5,6 +5,7 @@ from __future__ import annotations
 from rankloom.catalog.base import BUCKET_SQL, hash_sql, query
 from rankloom.catalog.k_metrics import pair_sql
 from rankloom.functions.rows import RATES
+from rankloom.functions.snap import snap_sql
 from rankloom.operators import profile
 from rankloom.sources.schema import LOG_COLUMNS
 
@@ -181,9 +182,9 @@ _EXCLUDED = {"srch_id", "prop_id", "srch_destination_id", "site_id", "prop_count
 _NUMERIC = [c for c in LOG_COLUMNS if c not in _EXCLUDED and c not in ("click_bool", "booking_bool")]
 
 
-def _correlates_sql(label: str, key: str) -> str:
+def _correlates_sql(label: str, key: str, limit: str = "LIMIT 15") -> str:
     parts = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{label}' AS label, corr({c}, {label}) AS r FROM log" for c in _NUMERIC)
-    return f"\n, h AS ({parts})\nSELECT * FROM h WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY round({key}, 9) DESC, \"column\" LIMIT 15"
+    return f"\n, h AS ({parts})\nSELECT * FROM h WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY {snap_sql(key)} DESC, \"column\" {limit}"
 
 
 @query("L14_top_correlates", _correlates_sql("booking_bool", "r"), exact="column label", d6="r")
@@ -199,6 +200,16 @@ def absolute_correlates(ctx):
 _MATRIX = ["price_usd", "prop_location_score1", "prop_location_score2", "prop_review_score", "prop_starrating", "position", "click_bool", "booking_bool"]
 
 
+@query("L14_booking_absolute_correlates", _correlates_sql("booking_bool", "abs(r)"), exact="column label", d6="r")
+def booking_absolute_correlates(ctx):
+    return profile.label_correlates(ctx.log, _NUMERIC, "booking_bool", absolute=True)
+
+
+@query("L14_all_correlates", _correlates_sql("click_bool", "abs(r)", ""), exact="column label", d6="r")
+def all_correlates(ctx):
+    return profile.label_correlates(ctx.log, _NUMERIC, "click_bool", top=None, absolute=True)
+
+
 @query("L14_pearson_matrix", f"\n, p AS ({pair_sql(_MATRIX, 'log')})\nSELECT * FROM p", exact="column_a column_b", d6="r")
 def pearson(ctx):
     return profile.correlation_matrix(ctx.log, _MATRIX)

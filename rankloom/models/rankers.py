@@ -37,9 +37,10 @@ class BinaryModel:
 
     features: list[str]
     model: GBTClassificationModel
+    best_round: int
 
     def predict(self, df: DataFrame, out: str, snapshots: Sequence[float] | None = SNAPSHOTS) -> DataFrame:
-        trees, weights = self.model.trees, self.model.treeWeights
+        trees, weights = self.model.trees[:self.best_round], self.model.treeWeights[:self.best_round]
         stops = sorted({max(1, int(round(len(trees) * s))) for s in (snapshots or (1.0,))})
         base = assemble(df, self.features, PAIR).withColumns({f"_m{s}": F.lit(0.0) for s in stops})
         for i, (tree, weight) in enumerate(zip(trees, weights)):
@@ -53,22 +54,30 @@ class BinaryModel:
 
 def fit_binary(
     train: DataFrame, validation: DataFrame | None, features: Sequence[str], label: str,
-    rounds: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 42,
+    rounds: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 42, patience: int = 150,
 ) -> BinaryModel:
-    """Booking or click model; stops early on the validation rows when given."""
-    both = train.withColumn("_held", F.lit(False))
-    if validation is not None:
-        columns = [c for c in train.columns if c in validation.columns]
-        both = both.select(*columns, "_held").unionByName(validation.select(*columns, F.lit(True).alias("_held")))
-    labelled = both.withColumn("_label", F.col(label).cast("double"))
-    data = assemble(labelled, features, ("_label", "_held"))
+    """Booking or click model. All rounds are trained; validation rows, when given, choose how many count."""
+    def labelled(df: DataFrame) -> DataFrame:
+        return assemble(df.withColumn("_label", F.col(label).cast("double")), features, ("_label",))
+
     learner = GBTClassifier(
         featuresCol="features", labelCol="_label", maxIter=rounds, maxDepth=depth, stepSize=rate,
         maxBins=64, seed=seed, checkpointInterval=5,
     )
-    if validation is not None:
-        learner = learner.setValidationIndicatorCol("_held")
-    return BinaryModel(list(features), learner.fit(data))
+    model = learner.fit(labelled(train))
+    losses = model.evaluateEachIteration(labelled(validation)) if validation is not None else []
+    return BinaryModel(list(features), model, best_length(losses, patience) if losses else len(model.trees))
+
+
+def best_length(losses: Sequence[float], patience: int) -> int:
+    """Rounds up to the least loss that is met before ``patience`` rounds pass without a new least."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 # --- ranking losses ------------------------------------------------------------
@@ -89,12 +98,14 @@ def fit_xendcg(train, validation, features, seed: int = 42, drop_frac: float = 0
 
 
 def xendcg_average(
-    train, validation, features, target: DataFrame, seeds: Sequence[int] = XENDCG_SEEDS, out: str = "xendcg_avg_score", **options
+    train, validation, features, target: DataFrame, seeds: Sequence[int] = XENDCG_SEEDS, out: str = "xendcg_avg_score",
+    seed_rounds: Sequence[int] | None = None, **options
 ) -> tuple[DataFrame, list[RankModel]]:
-    """Mean over seeds of the per-search z scores."""
+    """Mean over seeds of the per-search z scores; ``seed_rounds`` gives each seed its own number of rounds."""
     scored, models = target.select(*PAIR), []
-    for seed in seeds:
-        model = fit_xendcg(train, validation, features, seed, **options)
+    for i, seed in enumerate(seeds):
+        own = {**options, "rounds": max(seed_rounds[i], 1)} if seed_rounds else options
+        model = fit_xendcg(train, validation, features, seed, **own)
         models.append(model)
         scored = attach_scores(scored, model.predict(target, f"_x{seed}"), check=False)
     names = [f"_x{s}" for s in seeds]
@@ -115,13 +126,11 @@ def fit_weighted_xendcg(train, validation, features, factor: float = 1.7, **opti
 
 # --- sort emulator ---------------------------------------------------------------
 
-MIN_SORTED_ROWS = 1000
-
-
 def _fit_sort(df: DataFrame, features: Sequence[str], rounds: int, seed: int):
     """Regression of the display position on rows shown in the site's own order."""
-    own_order = df.where(F.col("random_bool") == 0)
-    rows = own_order if own_order.limit(MIN_SORTED_ROWS).count() == MIN_SORTED_ROWS else df
+    rows = df.where(F.col("random_bool") == 0)
+    if rows.isEmpty():
+        raise ValueError("no row was shown in the site's own order")
     data = assemble(rows.withColumn("_label", -F.col("position").cast("double")), features, ("_label",))
     return GBTRegressor(
         featuresCol="features", labelCol="_label", maxIter=rounds, maxDepth=5, stepSize=0.1, maxBins=64,

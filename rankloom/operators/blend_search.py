@@ -178,22 +178,26 @@ class SegmentBlend:
     in_sample_ndcg: float
 
 
-MIN_SEGMENT_SEARCHES = 10
-
-
 def _shrunk(global_w, local_w, shrinkage: float) -> tuple[float, ...]:
     mixed = (1 - shrinkage) * np.asarray(global_w) + shrinkage * np.asarray(local_w)
     return tuple(global_w) if np.abs(mixed).sum() < 1e-12 else normalise(mixed, True)
 
 
 def fit_segment_blend(
-    df: DataFrame, scores: Sequence[str], segment: str, shrinkage: float = 0.30, n_folds: int = 10, rounds: int = 6
+    df: DataFrame, scores: Sequence[str], segment: str, shrinkage: float = 0.30, n_folds: int = 10, rounds: int = 6,
+    min_searches: int = 10, max_values: int = 1_000,
 ) -> SegmentBlend:
-    """Signed weights per segment, pulled from the global fit by ``shrinkage``."""
+    """Signed weights per segment, pulled from the global fit by ``shrinkage``.
+
+    A segment value with fewer than ``min_searches`` searches takes the global weights. Every value is
+    searched in jobs of its own, so more than ``max_values`` of them are an error.
+    """
     overall = fit_blend(df, scores, signed=True, n_folds=n_folds, rounds=rounds).pool
     local = Pool(gain_frame(df, scores, n_folds, segment), list(scores), n_folds, segment)
     local.evaluate(overall.vectors)
     values = sorted({seg for _, seg in local.searches if seg is not None})
+    if len(values) > max_values:
+        raise ValueError(f"{segment} has more than {max_values} values")
     for value in values:
         search_weights(local, True, seg=value, rounds=rounds)
 
@@ -203,7 +207,7 @@ def fit_segment_blend(
         for value in values:
             size = sum(n for (f, s), n in local.searches.items() if s == value and f != skip)
             own = local.best(True, skip_fold=skip, seg=value)
-            table[value] = _shrunk(base, own, shrinkage) if size >= MIN_SEGMENT_SEARCHES else base
+            table[value] = _shrunk(base, own, shrinkage) if size >= min_searches else base
         return base, table
 
     base, table = weights(None)

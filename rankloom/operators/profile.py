@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.rows import RATES, window_bucket
+from rankloom.functions.snap import snap
 from rankloom.operators.nulls import null_safe_join
 from rankloom.operators.metrics import correlation_pairs, pearson_matrix
 from rankloom.operators.quantiles import exact_quantiles
@@ -182,10 +183,10 @@ def quantile_bin_rates(
 def label_correlates(df: DataFrame, columns: Sequence[str], label: str, top: int | None = 15, absolute: bool = False) -> DataFrame:
     """Correlation of each column with a label, strongest first.
 
-    Columns equal to 9 digits tie and go by name: summation order must not rank them.
+    Columns equal to 6 digits tie and go by name: summation order must not rank them.
     """
     table = correlation_pairs(df, [(c, label, c, label) for c in columns]).where(F.col("r").isNotNull())
-    key = F.round(F.abs("r") if absolute else F.col("r"), 9)
+    key = snap(F.abs("r") if absolute else F.col("r"), 6)
     ordered = table.select(F.col("column_a").alias("column"), F.col("column_b").alias("label"), "r").orderBy(
         key.desc(), "column"
     )

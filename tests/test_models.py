@@ -109,3 +109,19 @@ def test_meta_stacker(frame):
     result = rankers.fit_meta(meta, features, n_folds=2, rounds=1, depth=2, min_rows=5)
     assert result.scores.count() == frame.count() and len(result.fold_scores) == 2
     assert rows_of(result.model.importances(frame.sparkSession), "feature").shape[0] == len(features)
+
+
+def test_small_gains_keep_all_rounds_and_a_turn_stops_at_the_best():
+    slow = [0.6 * 0.998 ** i for i in range(40)]
+    assert rankers.best_length(slow, 10) == 40
+    turn = [1.0, 0.8, 0.7, 0.75, 0.71, 0.72, 0.6]
+    assert rankers.best_length(turn, 3) == 3
+    assert rankers.best_length(turn, 10) == 7
+
+
+def test_binary_model_counts_the_rounds_the_held_rows_choose(log):
+    features = ["price_usd", "prop_location_score1", "prop_starrating"]
+    train, held = log.where("srch_id % 4 <> 0"), log.where("srch_id % 4 = 0")
+    model = rankers.fit_binary(train, held, features, "click_bool", rounds=8, depth=2, patience=3)
+    assert len(model.model.trees) == 8 and 1 <= model.best_round <= 8
+    assert rankers.fit_binary(train, None, features, "click_bool", rounds=3, depth=2).best_round == 3
