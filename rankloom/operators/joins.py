@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.rows import available
 from rankloom.operators.relative import score_order
+from rankloom.session import cut_lineage
 
 PAIR = ("srch_id", "prop_id")
+#: Most rows of a fitted table that is broadcast: some 20 MB of keys and numbers.
+LOOKUP_ROWS = 200_000
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
@@ -25,6 +28,16 @@ def assert_unique(df: DataFrame, keys: Sequence[str] = PAIR) -> None:
         raise ValueError(f"duplicate keys {tuple(keys)}")
 
 
+def broadcast_within(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """``table``, computed once, with a broadcast hint if it has at most ``rows`` (``LOOKUP_ROWS``) rows.
+
+    A fitted table is an aggregate that is needed anyway. Its columns are keys and numbers, so the
+    counted rows bound its bytes. The large side then stays where it is; above the bound both sides shuffle.
+    """
+    fitted, most = cut_lineage(table), LOOKUP_ROWS if rows is None else rows
+    return F.broadcast(fitted) if fitted.limit(most + 1).count() <= most else fitted
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,
@@ -34,12 +47,13 @@ def lookup(
 ) -> DataFrame:
     """Many-to-one left join with a default for keys that are not in ``table``.
 
-    Spark broadcasts the table while its measured size allows it and otherwise
-    shuffles both sides; AQE splits a skewed key on the row side.
+    The table is computed and counted first: within ``LOOKUP_ROWS`` rows it is broadcast, so
+    the rows of ``df`` are not shuffled on a key of few values; a larger one is joined by
+    a shuffle, in which AQE splits a skewed key on the row side.
     """
     if check:
         assert_unique(table, keys)
-    out = df.join(table, list(keys), "left")
+    out = df.join(broadcast_within(table), list(keys), "left")
     if defaults:
         out = out.withColumns({
             c: F.coalesce(F.col(c), v if isinstance(v, Column) else F.lit(v)) for c, v in defaults.items()

@@ -161,9 +161,12 @@ QUANTILE_BIN_COLUMNS = [
 
 
 def quantile_bin_rates(
-    df: DataFrame, columns: Sequence[str] = QUANTILE_BIN_COLUMNS, bins: int = 10, support: int = 100
+    df: DataFrame, columns: Sequence[str] = QUANTILE_BIN_COLUMNS, bins: int = 10, support: int = 0
 ) -> DataFrame:
-    """Booking rate by quantile bin of each column; equal edges merge, thin columns are left out."""
+    """Booking rate by quantile bin of each column; equal edges merge.
+
+    Columns with fewer than ``support`` known values are left out if asked for.
+    """
     values = long_form(df, columns, "booking_bool").where(
         F.col("x").isNotNull() & F.col("booking_bool").isNotNull()
     )
