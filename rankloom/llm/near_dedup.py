@@ -46,10 +46,9 @@ def _prints(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
-        seen = set()
-        for begin, end in chunks(texts):
-            doc, values, words, first = shingles(texts[begin:end])
+        rows, seen = batch.column(0).to_numpy(), set()
+        for begin, end, texts in chunks(batch.column(1)):
+            doc, values, words, first = shingles(texts)
             one, two = _prints(words, first)
             fresh = np.zeros(end - begin, bool)
             for i, pair in enumerate(zip(one.tolist(), two.tolist())):

@@ -176,9 +176,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in batches:
             schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
                                           ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for begin, end in chunks(texts):
-                for doc_id, ids in zip(doc_ids[begin:end], encode(texts[begin:end])):
+            doc_ids = batch.column(0).to_pylist()
+            for begin, end, texts in chunks(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[begin:end], encode([t.decode() for t in texts])):
                     packer.add(doc_id, np.append(ids, np.uint32(END_ID)))
                 yield packer.drain(schema)
         if schema:

@@ -184,14 +184,13 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     ``decoded`` is the text that the ids stand for (null without ``keep_decoded``); ``round_trip`` says whether it
     is the text that came in (a null one counts as empty), ``parity`` says whether the sentencepiece library agrees (null
     without ``verify``). A null or empty text has no ids and decodes to an empty one. Repeated rows are encoded alike; long texts are read
-    whole, and about 8 MB of text are held at a time. Other columns of ``docs`` are not read.
+    whole, and about 4 MB of text are held at a time. Other columns of ``docs`` are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(model_path, threads)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for begin, end in chunks(texts):
-                part = texts[begin:end]
+            for begin, end, texts in chunks(batch.column(1)):
+                part = [t.decode() for t in texts]
                 ids = work.encode(part)
                 decoded = work.decode(ids)
                 yield pa.RecordBatch.from_arrays([

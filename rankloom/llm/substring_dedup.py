@@ -98,9 +98,8 @@ def _cells(grams: np.ndarray, row: int, log2_cells: int) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
     cells = np.zeros((2, 1 << log2_cells), np.uint8)
     for batch in batches:
-        texts = [t.encode() for t in batch.column(1).to_pylist()]
-        for begin, end in chunks(texts):
-            windows = Windows(texts[begin:end], size)
+        for _, _, texts in chunks(batch.column(1)):
+            windows = Windows(texts, size)
             grams = windows.hashes(windows.anchor[windows.runs()], GRAM)
             for row in range(2):
                 at, n = np.unique(_cells(grams, row, log2_cells), return_counts=True)
@@ -134,9 +133,9 @@ def repeated_cells(numbered: DataFrame, size: int, log2_cells: int) -> np.ndarra
 def _runs(batches: Iterator[pa.RecordBatch], size: int, log2_cells: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(gram, form, row, start, windows): each run whose anchor may be repeated; form is a hash of all its words."""
     for batch in batches:
-        rows, texts = batch.column(0).to_numpy(), [t.encode() for t in batch.column(1).to_pylist()]
-        for begin, end in chunks(texts):
-            windows = Windows(texts[begin:end], size)
+        rows = batch.column(0).to_numpy()
+        for begin, end, texts in chunks(batch.column(1)):
+            windows = Windows(texts, size)
             run = windows.runs()
             length = np.diff(np.append(run, len(windows.start)))
             gram = windows.hashes(windows.anchor[run], GRAM)
@@ -161,9 +160,8 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, log2_cells: int, often:
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int, id_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.encode() for t in batch.column(1).to_pylist()]
-        for begin, end in chunks(texts):
-            data, starts, ends, first = words_of(texts[begin:end])
+        for begin, end, texts in chunks(batch.column(1)):
+            data, starts, ends, first = words_of(texts)
             edges = np.zeros(len(starts) + 1, np.int64)
             for i, found in enumerate(batch.column(2).slice(begin, end - begin)):
                 if found.is_valid:

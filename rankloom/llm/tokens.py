@@ -12,7 +12,7 @@ from rankloom.llm.wordcache import WordCache
 from rankloom.llm.wordhash import joined
 
 #: Distinct pre-tokens that are remembered while new words are met.
-CACHE_PARTS = 250_000
+CACHE_PARTS = 60_000
 #: Signs that end a word as pre-tokens of their own.
 TAIL = ".,;:!?*%&#$\"()|-"
 

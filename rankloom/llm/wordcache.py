@@ -17,7 +17,7 @@ class WordCache:
     64-bit hashes, and a word whose second hash differs from the one that is stored is an error.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], list[list[int]]], limit: int = 2_000_000):
+    def __init__(self, learn: Callable[[list[bytes]], list[list[int]]], limit: int = 800_000):
         self.learn, self.limit = learn, limit
         self.forget()
 
@@ -41,11 +41,11 @@ class WordCache:
             blob = data.tobytes()
             lists = self.learn([blob[s:e] for s, e in zip(starts[index[new]].tolist(), ends[index[new]].tolist())])
             sizes = np.array([len(x) for x in lists], np.int64)
-            order = np.argsort(np.concatenate([self.one, one[new]]), kind="stable")
-            self.place = np.concatenate([self.place, len(self.flat) + np.cumsum(sizes) - sizes])[order]
-            self.size = np.concatenate([self.size, sizes])[order]
+            to = np.searchsorted(self.one, one[new])  # the new hashes are in order, as all of ``one`` is
+            self.place = np.insert(self.place, to, len(self.flat) + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, to, sizes)
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))])
-            self.one, self.two = np.concatenate([self.one, one[new]])[order], np.concatenate([self.two, two[new]])[order]
+            self.one, self.two = np.insert(self.one, to, one[new]), np.insert(self.two, to, two[new])
             at = np.searchsorted(self.one, one)
         if (self.two[at] != two).any():
             raise RuntimeError("two words share a hash")

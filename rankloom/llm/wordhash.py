@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ONE, _TWO = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT, _EIGHT = np.uint64(33), np.uint64(8)
@@ -63,13 +67,18 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return data, starts, ends, np.searchsorted(starts, begins)
 
 
-def chunks(texts: list[bytes], limit: int = 8 << 20):
-    """Index ranges of consecutive texts of about ``limit`` bytes; a longer text is a range of its own."""
+def chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, row after the last, texts) of consecutive texts of about ``limit`` bytes.
+
+    Only one chunk at a time exists as Python objects; a longer text is a chunk of its own.
+    """
+    column = column.cast(pa.binary())
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
-            yield begin, i
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > limit:
+            yield begin, i, column.slice(begin, i - begin).to_pylist()
             begin, held = i, 0
-        held += len(text)
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += n
+    if begin < len(size):
+        yield begin, len(size), column.slice(begin).to_pylist()
