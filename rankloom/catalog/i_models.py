@@ -64,18 +64,18 @@ def lambdarank5(ctx):
 @query("I4_xendcg_seed_average")
 def xendcg(ctx):
     train, held = sampling.train_validation_split(_frame(ctx))
-    scores, _ = rankers.xendcg_average(train, held, FEATURES, held, seeds=(42, 2026), rounds=2, depth=3)
+    scores, _ = rankers.xendcg_average(train, held, FEATURES, held, rounds=2, depth=3)
     return _report(ctx, scores, "xendcg_avg_score", held)
 
 
 @query("I5_yetirank")
 def yetirank(ctx):
-    return _ranker(ctx, "cb_score", lambda t, v: rankers.fit_yetirank(t, v, FEATURES, permutations=2, rounds=2, depth=3))
+    return _ranker(ctx, "cb_score", lambda t, v: rankers.fit_yetirank(t, v, FEATURES, rounds=2, depth=3))
 
 
 @query("I8_sort_emulator", exact=ID, d6="sort_emulator_score sort_emulator_rank sort_emulator_gap_best")
 def sort_emulator(ctx):
-    return rankers.sort_emulator(_frame(ctx), None, n_folds=2, rounds=2)[0]
+    return rankers.sort_emulator(_frame(ctx), None, rounds=2)[0]
 
 
 @query(
@@ -96,7 +96,7 @@ def weighted(ctx):
 @query("I10_meta_stacker")
 def stacker(ctx):
     frame, features = rankers.meta_frame(ctx.scored.select("srch_id", "prop_id", "booking_bool", "click_bool", "is_domestic", "is_family", *SCORES), SCORES)
-    result = rankers.fit_meta(frame, features, n_folds=3, rounds=2, depth=3)
+    result = rankers.fit_meta(frame, features, rounds=2, depth=3)
     row = (result.oof_ndcg, float(min(result.fold_scores)), result.rounds)
     return ctx.spark.createDataFrame([row], "oof_ndcg5 double, worst_fold double, final_rounds int")
 
@@ -105,20 +105,20 @@ def stacker(ctx):
     "I11_candidate_recall",
     """
 , r AS (SELECT *, """ + " OR ".join(
-        f"row_number() OVER (PARTITION BY srch_id ORDER BY {c} DESC NULLS LAST, prop_id) <= 2" for c in SCORES
+        f"row_number() OVER (PARTITION BY srch_id ORDER BY {c} DESC NULLS LAST, prop_id) <= 15" for c in SCORES
     ) + """ AS hit FROM scored)
 SELECT CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS n_candidates, count(*) AS n_rows,
       avg(CASE WHEN hit THEN 1e0 ELSE 0 END) FILTER (WHERE rel > 0) AS positive_recall FROM r""",
     exact="n_candidates n_rows", d6="positive_recall",
 )
 def candidate_recall(ctx):
-    return rankers.candidate_recall(rankers.top_k_union(ctx.scored, SCORES, 2))
+    return rankers.candidate_recall(rankers.top_k_union(ctx.scored, SCORES, 15))
 
 
 @query("I11_reranker")
 def reranker(ctx):
     frame = ctx.scored.select("srch_id", "prop_id", "booking_bool", "click_bool", "is_domestic", *SCORES)
-    scored, _ = rankers.fit_reranker(frame, SCORES, "s1", k=2, rounds=2, depth=3)
+    scored, _ = rankers.fit_reranker(frame, SCORES, "s1", rounds=2, depth=3)
     return overall_metrics(scored, "topk_rerank_score")
 
 
