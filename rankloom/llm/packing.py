@@ -8,9 +8,9 @@ total, finds the fullest completion, and backtracking through its layers gives h
 of each length it takes. A pattern found once is used as often as the counts allow.
 
 Each task packs the remainders of its own rows, so nothing is shuffled, and holds the ids of at
-most ``pool`` remainders. A window that cannot be filled to ``good`` waits for
-later rows. Pieces that still wait when the pool is half full of them, or at the end of the task, are
-cut so that they fill windows; one window a task stays unfilled.
+most ``pool`` remainders. A length that nothing completes to ``good`` waits for later rows, and the
+next length is tried. Pieces that still wait when the pool is half full of them, or at the end of the
+task, are cut so that they fill windows; one window a task stays unfilled.
 """
 
 from __future__ import annotations
@@ -63,22 +63,29 @@ def best_fill(counts: Counter[int], capacity: int) -> Counter[int]:
 
 
 def fill_windows(counts: Counter[int], capacity: int, least: int) -> list[tuple[Counter[int], int]]:
-    """(pattern, times) until no window can be filled to ``least``; takes what it uses from ``counts``."""
-    plan = []
-    while counts:
-        first = max(counts)
-        counts[first] -= 1
-        pattern = best_fill(+counts, capacity - first)
+    """(pattern, times) until no window can be filled to ``least``; takes what it uses from ``counts``.
+
+    A length that no others complete to ``least`` is set aside and the next one is tried. Pieces only go,
+    so it stays without a completion, and no later window needs it.
+    """
+    plan, free, aside = [], +counts, Counter()
+    while free:
+        first = max(free)
+        free[first] -= 1
+        pattern = best_fill(free, capacity - first)
         pattern[first] += 1
-        counts[first] += 1
+        free[first] += 1
         if sum(k * n for k, n in pattern.items()) < least:
-            break
-        times = min(counts[k] // n for k, n in pattern.items())
+            aside[first] = free.pop(first)
+            continue
+        times = min(free[k] // n for k, n in pattern.items())
         for k, n in pattern.items():
-            counts[k] -= n * times
-            if not counts[k]:
-                del counts[k]
+            free[k] -= n * times
+            if not free[k]:
+                del free[k]
         plan.append((pattern, times))
+    counts.clear()
+    counts.update(aside)
     return plan
 
 

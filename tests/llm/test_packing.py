@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rankloom.llm.packing import best_fill, fill_windows, pack_documents, with_checksum
+from rankloom.llm.packing import _Packer, best_fill, fill_windows, pack_documents, with_checksum
 from rankloom.llm.tokens import word_encoder
 
 from .helpers import CLASH, LONG, ODD, docs, prose
@@ -48,6 +48,34 @@ def test_plan_uses_every_piece_once():
     assert total == counts and not left
 
 
+def test_a_length_without_completion_does_not_end_the_plan():
+    counts = Counter({1020: 1, 1000: 1, 600: 10, 424: 9, 24: 2})
+    plan = fill_windows(counts, 1024, 1024)
+    assert sorted((sorted(p.elements()), n) for p, n in plan) == [([24, 1000], 1), ([424, 600], 9)]
+    assert counts == {1020: 1, 600: 1, 24: 1}
+
+
+def test_no_full_window_can_be_made_of_what_is_left():
+    for seed in range(30):
+        draw = random.Random(seed)
+        counts = Counter(draw.randrange(1, 40) for _ in range(draw.randrange(1, 14)))
+        fill_windows(counts, 40, 40)
+        assert brute(list(counts.elements()), 40) < 40
+
+
+def test_most_remainders_are_placed_whole():
+    draw = random.Random(4)
+    lengths = [min(4_000, int(draw.lognormvariate(5.6, 1.0)) + 1) for _ in range(3_000)]
+    packer = _Packer(0, 1024, 1_000, 1024)
+    for i, n in enumerate(lengths):
+        packer.add(i, np.zeros(n, np.uint32))
+    packer.finish()
+    pieces = Counter(row[0] for row in packer.out)
+    cut = sum(pieces[i] > -(-n // 1024) for i, n in enumerate(lengths))
+    assert cut < 0.05 * len(lengths)
+    assert len({row[5] for row in packer.out}) == -(-sum(lengths) // 1024)
+
+
 @pytest.mark.parametrize("capacity,pool", [(1024, 8192), (64, 40), (7, 5)])
 def test_pieces_cover_documents_and_fill_sequences(spark, capacity, pool):
     texts = ODD + [prose(i, 5 + i * 7 % 400) for i in range(150)] + [LONG[:40_000], " two  blanks ", "a\n \nb", "don 't", "x <|endoftext|> y"]
