@@ -8,8 +8,9 @@ shingles is at least 0.8; a class is a connected component of links.
    leader, the node that shares most buckets with others; an original is central among its copies. So
    a bucket of n nodes gives n - 1 candidates, and a pair found by many bands is one candidate.
 3. Where a bucket still holds nodes of several components, each node outside the leader's component is
-   held against the others in blocks of bounded size by its signature alone. Per other component only
-   the few partners that agree most are candidates. This repeats until no new link is found.
+   held against the others in blocks of bounded size by its signature alone. Per other component the
+   few partners that agree most are candidates first. This repeats until no new link is found, then with
+   more partners, until every pair of a bucket that agrees enough is compared or in one component.
 
 Every candidate is compared exactly. With 42 bands of 6 registers a pair at similarity 0.8 is missed
 with a chance of 3 in a million; signatures of pairs in step 3 must agree in 72 % of 256 registers.
@@ -31,7 +32,7 @@ from rankloom.llm.components import components
 from rankloom.llm.wordhash import chunks, mix
 
 REGISTERS, BAND_ROWS, SIMILAR = 256, 6, 0.8
-AGREE, PARTNERS, BLOCK = 0.72, 3, 1_024
+AGREE, PARTNERS, WIDER, BLOCK = 0.72, 3, 8, 1_024
 
 
 def _prints(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,42 +117,50 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per asking node and other component of its bucket block: the partners that agree most."""
+def _partners(batches: Iterator[pa.RecordBatch], page: int) -> Iterator[pa.RecordBatch]:
+    """Per asking node and other component of its bucket block: the ``page`` partners that agree most, and if there are more."""
     for group in _groups(batches, 3):
         node, comp, asks = (group.column(i).to_numpy() for i in (3, 4, 5))
         marks = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint8).reshape(len(node), REGISTERS)
         others = np.flatnonzero(asks == 0)
-        found: list[tuple[int, int]] = []
+        theirs, comps = marks[others], comp[others]
+        found: list[tuple] = []
         for i in np.flatnonzero(asks == 1):
-            share = (marks[others] == marks[i]).mean(axis=1)
-            close = np.flatnonzero((share >= AGREE) & (comp[others] != comp[i]))
-            taken: dict[int, int] = {}
-            for j in close[np.argsort(-share[close], kind="stable")]:
-                c = int(comp[others[j]])
-                if taken.setdefault(c, 0) < PARTNERS:
-                    taken[c] += 1
-                    found.append((max(int(node[i]), int(node[others[j]])), min(int(node[i]), int(node[others[j]]))))
+            share = (theirs == marks[i]).mean(axis=1)
+            close = np.flatnonzero((share >= AGREE) & (comps != comp[i]))
+            if not len(close):
+                continue
+            close = close[np.lexsort((-share[close], comps[close]))]
+            _, first, sizes = np.unique(comps[close], return_index=True, return_counts=True)
+            kept = np.arange(len(close)) - np.repeat(first, sizes) < page
+            partner = node[others[close[kept]]]
+            found.append((np.maximum(partner, node[i]), np.minimum(partner, node[i]), np.repeat(sizes > page, sizes)[kept]))
         if found:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+            a, b, more = (np.concatenate(column) for column in zip(*found))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
 
-def _second_looks(members: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
-    """Candidates (a, b) between components that meet in a bucket."""
+def _mixed_buckets(members: DataFrame, comps: DataFrame, marks: DataFrame) -> DataFrame:
+    """Members, with their signatures, of the buckets in which components meet."""
     known = broadcast_if_small(comps)
     placed = members.join(known.select(F.col("u").alias("node"), F.col("v").alias("comp")), "node", "left")
     placed = placed.join(known.select(F.col("u").alias("leader"), F.col("v").alias("main")), "leader", "left")
     placed = placed.select("key", "node", "size", F.coalesce("comp", "node").alias("comp"), F.coalesce("main", "leader").alias("main"))
     mixed = placed.withColumn("odd", F.col("comp") != F.col("main"))
     keys = mixed.filter("odd").select("key").distinct()
-    rows = stage(mixed.join(keys, "key").join(marks, "node"), "mixed")
+    return stage(mixed.join(keys, "key").join(marks, "node"), "mixed")
+
+
+def _second_looks(rows: DataFrame, page: int) -> DataFrame:
+    """Candidates (a, b) between components that meet in a bucket, and if one of their nodes has more than its ``page``."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     asking = rows.filter("odd").select("key", own.alias("i"), every.alias("j"), "node", "comp", F.lit(1).alias("asks"), "short")
     others = rows.select("key", every.alias("i"), own.alias("j"), "node", "comp", F.lit(0).alias("asks"), "short")
     grid = asking.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks", "node")
-    return grid.mapInArrow(_partners, "a long, b long").distinct()
+    found = grid.mapInArrow(lambda batches: _partners(batches, page), "a long, b long, more boolean")
+    return stage(found.groupBy("a", "b").agg(F.max("more").alias("more")), "looks")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "_row", similar: float = SIMILAR) -> DataFrame:
@@ -187,13 +196,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pair = (F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"))
     tested = _verified(members.filter("node <> leader").select(*pair).distinct(), texts)
+    page, linked = PARTNERS, True
     while True:
-        comps = components(tested.filter(F.col("similarity") >= similar))
-        fresh = _second_looks(members, comps, marks).join(tested, ["a", "b"], "left_anti")
-        more = _verified(fresh, texts)
+        if linked:
+            comps = components(tested.filter(F.col("similarity") >= similar))
+            mixed = _mixed_buckets(members, comps, marks)
+        looks = _second_looks(mixed, page)
+        more = _verified(looks.select("a", "b").join(tested, ["a", "b"], "left_anti"), texts)
         tested = tested.unionByName(more)
-        if more.filter(F.col("similarity") >= similar).isEmpty():
-            break
+        linked = not more.filter(F.col("similarity") >= similar).isEmpty()
+        if not linked:
+            if looks.filter("more").isEmpty():
+                break
+            page *= WIDER
 
     placed = marked.select("row", "node").join(broadcast_if_small(comps.withColumnRenamed("u", "node")), "node", "left")
     placed = numbered.select("row", "id").join(placed.select("row", F.coalesce("v", "node").alias("class")), "row")

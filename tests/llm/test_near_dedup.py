@@ -59,6 +59,33 @@ def test_classes_equal_all_pairs(spark):
     assert {r.doc_id for r in out.collect()} == set(want.values())
 
 
+def near_threshold_class():
+    """A class of 150, and 12 texts that lie at 0.796 to its members but at 0.8165 to one each.
+
+    Words 4, 9, 14, ... can be replaced, each in five of the 396 shingles; the class and the twelve use different ones.
+    """
+    draw, words = random.Random(5), [f"word{i}" for i in range(400)]
+    slots = list(range(4, 396, 5))
+    own, far = slots[:39], slots[39:]
+
+    def text(edits):
+        return " ".join(edits.get(i, w) for i, w in enumerate(words))
+
+    texts = [text({p: f"near{k}p{p}" for p in draw.sample(own, 2)}) for k in range(150)]
+    for k in range(12):
+        mine = {p: f"far{k}p{p}" for p in draw.sample(far, 7)}
+        shared = draw.choice(sorted(mine))
+        texts += [text({shared: mine[shared]} | {p: f"bridge{k}p{p}" for p in draw.sample(own, 2)}), text(mine)]
+    return texts
+
+
+def test_a_link_to_one_member_of_a_large_class_near_the_threshold(spark):
+    texts = near_threshold_class()
+    want = classes(texts)
+    assert set(want.values()) == {0}
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(spark, texts)).collect()} == want
+
+
 def test_repeated_rows_null_ids_empty_table(spark):
     frame = docs(spark, [prose(1, 30)] * 3 + [None, "", ""], ids=[5, 5, None, None, 7, 7])
     rows = near_duplicates(frame).collect()
