@@ -12,8 +12,9 @@ shingles is at least 0.8; a class is a connected component of links.
    few partners that agree most are candidates first. This repeats until no new link is found, then with
    more partners, until every pair of a bucket that agrees enough is compared or in one component.
 
-Every candidate is compared exactly. With 42 bands of 6 registers a pair at similarity 0.8 is missed
-with a chance of 3 in a million; signatures of pairs in step 3 must agree in 72 % of 256 registers.
+Every candidate is compared exactly. With 42 bands of 6 registers a pair at similarity 0.8 shares no bucket
+with a chance of 3 in a million. Pairs in step 3 must also agree in 68 % of 256 registers, which such a pair
+fails with a chance of 4 in a million; together at most 7 in a million.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from rankloom.llm.components import components
 from rankloom.llm.wordhash import chunks, mix
 
 REGISTERS, BAND_ROWS, SIMILAR = 256, 6, 0.8
-AGREE, PARTNERS, WIDER, BLOCK = 0.72, 3, 8, 1_024
+AGREE, PARTNERS, WIDER, BLOCK = 0.68, 3, 8, 1_024
 
 
 def _prints(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

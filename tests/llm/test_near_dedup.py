@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -5,7 +6,7 @@ import numpy as np
 
 from rankloom.llm.bag_minhash import multisets, signatures, weighted_jaccard
 from rankloom.llm.components import components
-from rankloom.llm.near_dedup import drop_near_duplicates, near_duplicates
+from rankloom.llm.near_dedup import AGREE, REGISTERS, SIMILAR, drop_near_duplicates, near_duplicates
 
 from .helpers import CLASH, LONG, ODD, docs, prose
 
@@ -110,6 +111,11 @@ def test_registers_agree_as_often_as_multisets_are_similar():
                                     (np.sort(element[b > 0]), b[b > 0][np.argsort(element[b > 0])])) - want) < 1e-12
 
 
+def test_a_similar_pair_rarely_fails_the_agreement_of_registers():
+    short = range(math.ceil(AGREE * REGISTERS))
+    assert sum(math.comb(REGISTERS, k) * SIMILAR ** k * (1 - SIMILAR) ** (REGISTERS - k) for k in short) < 1e-5
+
+
 def test_multiset_counts():
     doc, element, count = multisets(np.array([1, 0, 1, 1]), np.array([7, 7, 7, 3], np.uint64))
     assert list(zip(doc.tolist(), element.tolist(), count.tolist())) == [(0, 7, 1), (1, 3, 1), (1, 7, 2)]
