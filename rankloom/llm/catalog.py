@@ -11,6 +11,7 @@ from rankloom.llm.boilerplate import BLOCKS, HIDDEN, HOST, MIN_PAGES, RATIO, pag
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
 from rankloom.llm.language import learn_profiles, with_language
+from rankloom.llm.mixing import mix_sources
 from rankloom.llm.near_dedup import near_duplicates
 from rankloom.llm.packing import pack_documents, with_checksum
 from rankloom.llm.prefix_forest import nearest
@@ -75,6 +76,10 @@ def op10_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "severity", "toxic_chance", (scored.severity >= 0.5).alias("rejected"))
 
 
+def op11_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_site_boilerplate": op1_site_boilerplate,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_bag_minhash": op8_bag_minhash,
     "op9_rank_order_language": op9_rank_order_language,
     "op10_toxic_severity": op10_toxic_severity,
+    "op11_entropy_balancing": op11_entropy_balancing,
     "pipeline": corpus_pipeline.run,
 }
 
