@@ -17,6 +17,7 @@ from rankloom.llm.packing import pack_documents, with_checksum
 from rankloom.llm.prefix_forest import nearest
 from rankloom.llm.pseudonyms import pseudonymise
 from rankloom.llm.sentencepiece_backend import encode_documents
+from rankloom.llm.spelling import spelling_variants
 from rankloom.llm.substring_dedup import remove_repeats
 from rankloom.llm.toxicity import fit_severity, with_severity
 
@@ -80,6 +81,10 @@ def op11_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_site_boilerplate": op1_site_boilerplate,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -92,10 +97,44 @@ QUERIES = {
     "op9_rank_order_language": op9_rank_order_language,
     "op10_toxic_severity": op10_toxic_severity,
     "op11_entropy_balancing": op11_entropy_balancing,
+    "op12_pivotal_grams": op12_pivotal_grams,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
+    "op12_pivotal_grams": r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)),
+counted AS (
+  SELECT run, length(run) AS size, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS digits
+  FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+marked AS (
+  SELECT run, size, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(len(digits) // 2), lambda i:
+    16 * (instr('0123456789ABCDEF', digits[2 * i + 1]) - 1) + instr('0123456789ABCDEF', digits[2 * i + 2]) - 1),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM counted, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % size AS BIGINT)) || substr(run, CAST(h % size AS BIGINT) + 2) ELSE run END AS word, n FROM marked),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, struct_pack(a := -m, b := near)) AS near, max(m) AS m FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, CASE WHEN m >= 5 * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chains AS (
+  SELECT word, word AS root, 0 AS far FROM forms
+  UNION ALL SELECT c.word, f.form, far + 1 FROM chains c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, far) AS root FROM chains GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN roots r ON f.word = r.word
+""",
     "op6_count_min_passages": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 starts AS (
