@@ -11,6 +11,7 @@ from rankloom.llm.boilerplate import BLOCKS, HIDDEN, HOST, MIN_PAGES, RATIO, pag
 from rankloom.llm.common import table
 from rankloom.llm.exact_dedup import exact_duplicates
 from rankloom.llm.language import learn_profiles, with_language
+from rankloom.llm.lexical_search import search
 from rankloom.llm.mixing import mix_sources
 from rankloom.llm.near_dedup import near_duplicates
 from rankloom.llm.packing import pack_documents, with_checksum
@@ -85,6 +86,10 @@ def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_shared_subexpressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_site_boilerplate": op1_site_boilerplate,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -98,10 +103,34 @@ QUERIES = {
     "op10_toxic_severity": op10_toxic_severity,
     "op11_entropy_balancing": op11_entropy_balancing,
     "op12_pivotal_grams": op12_pivotal_grams,
+    "op13_shared_subexpressions": op13_shared_subexpressions,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
+    "op13_shared_subexpressions": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (
+  SELECT row_number() OVER () AS qid, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts FROM benchmark),
+corpus AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS length FROM d WHERE len(ts) > 0),
+wanted AS (SELECT qid, item_id, unnest(ts) AS term FROM q),
+terms AS (SELECT rid, unnest(ts) AS term FROM d),
+tf AS (SELECT rid, term, count(*) AS tf FROM terms SEMI JOIN wanted USING (term) GROUP BY rid, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, corpus GROUP BY term),
+parts AS (
+  SELECT tf.rid, doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(ts) * docs) // length))) AS part
+  FROM tf JOIN weights ON tf.term = weights.term JOIN d ON tf.rid = d.rid, corpus),
+scores AS (
+  SELECT qid, item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM wanted JOIN parts ON wanted.term = parts.term
+  GROUP BY qid, item_id, rid, doc_id HAVING sum(part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores) WHERE rank <= 10
+""",
     "op12_pivotal_grams": r"""
 WITH RECURSIVE crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
