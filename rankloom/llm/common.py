@@ -38,6 +38,14 @@ def broadcast_if_small(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import broadcast_if_small, stage, text_or_empty
+from rankloom.llm.common import broadcast_if_small, fresh, stage, text_or_empty
 
 LIMIT, CYCLE = 3, (1, 2, 3)
 #: Newton steps; the bracket has then been halved often enough for any double.
@@ -186,11 +186,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows are numbered and written once, so a lost task cannot number them anew. Columns of any name may be there.
     """
-    number = "_mix_row"
-    while number in docs.columns:
-        number += "_"
+    number = fresh(docs, "_mix_row")
     kept = stage(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
     plan = _plan(_sizes(kept, id_col, text_col, source_col, F.col(number).alias("row")), limit, cycle, SLICE)
-    times = stage(plan.filter("copies > 0").select(F.col("row").alias(number), F.col("copies").alias("_times")), "mix-times")
-    again = times.select(number, F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_time")).select(number)
+    times = stage(plan.filter("copies > 0").select(F.col("row").alias(number), "copies"), "mix-times")
+    again = times.select(number, F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(number)
     return kept.join(again, number).select(*[F.col(f"`{c}`") for c in docs.columns])

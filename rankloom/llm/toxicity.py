@@ -7,9 +7,12 @@ the word beginnings of 5 or 7 letters that two, or three, of its different words
 that are built on one stem in many forms are found by the latter.
 
 The fit takes at most ``max_rows`` labelled rows, those with the smallest hash of their id, so
-its cost does not grow with the corpus. A first pass with a lasso penalty picks features: the
-penalty of each is ``z`` standard deviations of the gradient that one as frequent would
-have by chance. A second pass fits the picked ones alone with a small ridge penalty.
+its cost does not grow with the corpus. A feature is a candidate if, at one threshold at least, chance alone would
+deal it out so unevenly only as often as a normal value lies ``z`` deviations from its mean (exact
+hypergeometric tails, so a word of a single toxic text is none). A first pass with a lasso penalty picks
+features: the penalty of each is ``z`` standard deviations of the gradient that one as frequent would
+have by chance. A second pass fits the picked ones alone with a small ridge penalty. Features whose gradient is then
+above their penalty were masked by others: they are taken in and the fit is repeated until none is left.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import stage
+from rankloom.llm.common import fresh, stage
 
 WORD = re.compile(r"\w+")
 STEMS = (5, 7)
@@ -78,6 +82,42 @@ def _fit(rows: np.ndarray, ptr: np.ndarray, y: np.ndarray, n_grades: int, penalt
     return w, cuts
 
 
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
+def upper_tail(found: np.ndarray, count: np.ndarray, marked: int, n: int) -> np.ndarray:
+    """P(X >= found) when ``count`` of ``n`` rows are drawn at random and X of the ``marked`` ones are among them."""
+    logs, most = _log_factorials(n), np.minimum(count, marked)
+
+    def log_choose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return logs[a] - logs[b] - logs[a - b]
+
+    total, at = np.zeros(len(found)), np.maximum(found, count - (n - marked))
+    active = np.flatnonzero(at <= most)
+    while len(active):
+        c, x = count[active], at[active]
+        term = np.exp(log_choose(np.full(len(x), marked), x) + log_choose(np.full(len(x), n - marked), c - x) - log_choose(np.full(len(x), n), c))
+        total[active] += term
+        at[active] += 1
+        # past the mode terms fall ever faster; one far below the sum ends it
+        past = (x > c * marked / n) & (term < 1e-9 * total[active])
+        active = active[~past & (at[active] <= most[active])]
+    return np.minimum(total, 1.0)
+
+
+def _uneven(lists: list[np.ndarray], y: np.ndarray, n_grades: int, level: float) -> np.ndarray:
+    """Which features are dealt out unevenly at a threshold, in either direction."""
+    count, n = np.array([len(x) for x in lists], int), len(y)
+    at, rows = np.repeat(np.arange(len(lists)), count), np.concatenate(lists)
+    chosen = np.zeros(len(lists), bool)
+    for k in range(1, n_grades):
+        above = np.bincount(at, weights=y[rows] >= k, minlength=len(lists)).astype(np.int64)
+        marked = int((y >= k).sum())
+        chosen |= (upper_tail(above, count, marked, n) < level) | (upper_tail(count - above, count, n - marked, n) < level)
+    return chosen
+
+
 def features(text: str) -> set[str]:
     """Words of ``text``, and ``stem*n`` for each beginning that n = 2 or 3 different words share."""
     words = set(WORD.findall(text.lower()))
@@ -93,10 +133,10 @@ def _sketch(found: list[str]) -> int:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, grade, text = (batch.column(i).to_pylist() for i in range(3))
+        grade, text = (batch.column(i).to_pylist() for i in (1, 2))
         found = [sorted(features(t)) for t in text]
         yield pa.RecordBatch.from_pydict({
-            "row": pa.array(row, pa.int64()), "grade": pa.array(grade, pa.int32()),
+            "row": batch.column(0), "grade": pa.array(grade, pa.int32()),
             "features": pa.array(found, pa.list_(pa.string())), "sketch": pa.array([_sketch(x) for x in found], pa.int64()),
         })
 
@@ -105,16 +145,19 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", i
                  max_rows: int = MAX_ROWS, min_docs: int = MIN_DOCS, z: float = 4.0, ridge: float = 1e-4, steps: int = 200) -> SeverityModel:
     """Learn weights and thresholds from the labelled rows of ``docs``.
 
-    Rows with a null grade, id or text are left out. With no labelled row the model has no grade
-    and scores null; with a single grade it always gives that grade. Only features found in at least
-    ``min_docs`` sampled rows take part.
+    Rows with a null grade, id or text are left out. An id with several labels has the highest of them; ids
+    may be of any type. Repeated rows and copies with one grade count once, as near copies mostly do. Texts are read
+    whole, and features are few beside a text's words. Of ties by hash the smaller id is taken. Other columns are not
+    read. With no labelled row the model has no grade and scores null; with a single grade it always
+    gives that grade. Only features found in at least ``min_docs`` sampled rows take part.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).dropna().dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).dropna().groupBy("id").agg(F.max("grade").alias("grade"))
     picked = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_rows))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).dropna().join(picked, "id")
-    rows = rows.select("id", "grade", "text").mapInArrow(_features, "row long, grade int, features array<string>, sketch long")
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.select("id", "grade", "text").mapInArrow(_features, f"row {kind}, grade int, features array<string>, sketch long")
     # copies of one text would make all its words look like evidence: one row per grade and sketch is kept
-    rows = stage(rows.groupBy("grade", "sketch").agg(F.min_by("features", "row").alias("features"), F.min("row").alias("row")), "severity-sample")
+    rows = stage(rows.groupBy("grade", "sketch").agg(F.min_by("features", F.struct("row", "features")).alias("features"), F.min("row").alias("row")), "severity-sample")
     grades_of = rows.select("row", "grade").distinct().toPandas().drop_duplicates("row").sort_values("row")
     grades = sorted(set(grades_of.grade.tolist()))
     if len(grades) < 2:
@@ -124,22 +167,38 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grade_col: str = "toxic", i
     # the inverted index of a bounded sample: at most max_rows entries a word
     index = rows.select("row", F.explode("features").alias("feature")).groupBy("feature").agg(F.collect_set("row").alias("rows"))
     index = index.filter(F.size("rows") >= min_docs).toPandas().sort_values("feature").reset_index(drop=True)
-    if index.empty:
-        cuts = _fit(np.zeros(0, int), np.zeros(1, int), y, len(grades), np.zeros(0), ridge, 1)[1]
-        return SeverityModel([int(g) for g in grades], cuts.tolist())
-    lists = [np.fromiter((place[r] for r in sorted(x)), int, len(x)) for x in index["rows"]]
-    n, count = len(y), np.array([len(x) for x in lists])
-    spread = np.sqrt(np.var(y > 0) * count / n / n)
-    entries, ptr = np.concatenate(lists), np.concatenate([[0], np.cumsum(count)])
-    w, _ = _fit(entries, ptr, y, len(grades), z * spread, 0.0, steps)
-    chosen = np.flatnonzero(w)
-    names = [index.feature[i] for i in chosen]
-    entries = np.concatenate([lists[i] for i in chosen] or [np.zeros(0, int)])
-    ptr = np.concatenate([[0], np.cumsum(count[chosen])]).astype(int)
-    w, cuts = _fit(entries, ptr, y, len(grades), np.zeros(len(chosen)), ridge, 5 * steps)
+    names, cuts, w = _select(index.feature.tolist(), [np.fromiter((place[r] for r in sorted(x)), int, len(x)) for x in index["rows"]],
+                             y, len(grades), z, ridge, steps)
     return SeverityModel([int(g) for g in grades], cuts.tolist(), dict(zip(names, w.tolist())))
 
 
+def _stacked(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*lists, np.zeros(0, int)]).astype(int), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(int)
+
+
+def _select(names: list[str], lists: list[np.ndarray], y: np.ndarray, n_grades: int, z: float, ridge: float,
+            steps: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(names, thresholds, weights) of the features that carry evidence; ``lists`` has the rows of each feature."""
+    fair = _uneven(lists, y, n_grades, NormalDist().cdf(-z)) if lists else np.zeros(0, bool)
+    names, lists = [x for x, ok in zip(names, fair) if ok], [x for x, ok in zip(lists, fair) if ok]
+    n, count = len(y), np.array([len(x) for x in lists], int)
+    alone = np.cumsum(np.bincount(y, minlength=n_grades))[:-1] / n
+    by_row, _ = _loss_parts(np.zeros(n), y, np.log(alone / (1 - alone)))
+    penalty = z * np.std(by_row) * np.sqrt(count)
+    entries, ptr = _stacked(lists)
+    w, _ = _fit(entries, ptr, y, n_grades, penalty, 0.0, steps)
+    chosen = np.flatnonzero(w)
+    while True:
+        own, own_ptr = _stacked([lists[i] for i in chosen])
+        w, cuts = _fit(own, own_ptr, y, n_grades, np.zeros(len(chosen)), ridge, 5 * steps)
+        eta = np.bincount(own, weights=np.repeat(w, np.diff(own_ptr)), minlength=n)
+        pull = np.abs(np.bincount(np.repeat(np.arange(len(lists)), count), weights=_loss_parts(eta, y, cuts)[0][entries], minlength=len(lists)))
+        masked = np.setdiff1d(np.flatnonzero(pull > penalty), chosen)
+        if not len(masked):
+            return [names[i] for i in chosen], cuts, w
+        chosen = np.sort(np.concatenate([chosen, masked]))
+
+
 def linear_score(text: Column, model: SeverityModel) -> Column:
     """w.x of each text: the summed weights of the features it has, each counted once."""
     weights = model.weights
@@ -169,20 +228,22 @@ def with_severity(docs: DataFrame, model: SeverityModel, text_col: str = "text",
     Without any grade both results are null. Repeated rows score alike; very long texts are read
     whole; columns of ``docs`` stay, except that one named like a result is replaced.
     """
-    grades, eta = model.grades, F.col("_eta")
+    linear = fresh(docs, "_eta")
+    grades, eta = model.grades, F.col(linear)
     above = [1.0 / (1.0 + F.exp(F.lit(float(c)) - eta)) for c in model.thresholds]  # P(grade > k)
     severity = F.lit(float(grades[0])) if grades else F.lit(None).cast("double")
     for low, high, chance in zip(grades, grades[1:], above):
         severity = severity + float(high - low) * chance
-    out = docs.withColumn("_eta", linear_score(F.col(text_col), model)).withColumn(severity_col, severity)
+    out = docs.withColumn(linear, linear_score(F.col(text_col), model)).withColumn(severity_col, severity)
     if chance_col:
         out = out.withColumn(chance_col, above[0] if above else F.lit(0.0 if grades else None).cast("double"))
-    return out.drop("_eta")
+    return out.drop(linear)
 
 
 def reject_toxic(docs: DataFrame, model: SeverityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose expected severity lies at least ``threshold`` above the lowest grade."""
     if len(model.grades) < 2:
         return docs
-    scored = with_severity(docs, model, text_col, "_severity")
-    return scored.filter(F.col("_severity") - model.grades[0] < threshold).drop("_severity")
+    severity = fresh(docs, "_severity")
+    scored = with_severity(docs, model, text_col, severity)
+    return scored.filter(F.col(severity) - model.grades[0] < threshold).drop(severity)

@@ -1,7 +1,9 @@
+from math import comb
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from rankloom.llm.toxicity import SeverityModel, _loss_parts, fit_severity, reject_toxic, with_severity
+from rankloom.llm.toxicity import SeverityModel, _fit, _loss_parts, _stacked, fit_severity, reject_toxic, upper_tail, with_severity
 
 from .helpers import CLASH, docs, prose
 
@@ -82,3 +84,41 @@ def test_copies_of_one_text_do_not_make_its_words_evidence(spark):
     model = fit_severity(docs(spark, texts), labels)
     assert model.weights == {} and model.grades == [0, 1]
     assert with_severity(docs(spark, ["x"]), model).select(F.col("severity") < 0.5).first()[0]
+
+
+def test_fit_equals_a_plain_newton_solution():
+    rng = np.random.default_rng(5)
+    n, k, ridge = 80, 4, 1e-2
+    x = (rng.random((n, k)) < 0.4).astype(float)
+    y = np.clip(np.floor(x @ np.array([1.5, -1.0, 0.5, 0.0]) + rng.logistic(size=n) + 1), 0, 2).astype(int)
+    entries, ptr = _stacked([np.flatnonzero(x[:, j]) for j in range(k)])
+    w, cuts = _fit(entries, ptr, y, 3, np.zeros(k), ridge, 20_000)
+
+    def slope(p):
+        by_row, by_cut = _loss_parts(x @ p[:k], y, p[k:])
+        return np.concatenate([x.T @ by_row + ridge * p[:k], by_cut])
+
+    p = np.concatenate([np.zeros(k), [-0.5, 0.5]])
+    for _ in range(60):
+        bend = np.array([(slope(p + e) - slope(p - e)) / 2e-5 for e in np.eye(k + 2) * 1e-5])
+        p = p - np.linalg.solve(bend, slope(p))
+    assert np.abs(slope(p)).max() < 1e-9 and np.allclose(np.concatenate([w, cuts]), p, atol=1e-4)
+
+
+def test_tails_equal_plain_sums():
+    n = 30
+    for marked in (1, 4, 15, 30):
+        found, count = (np.array(v) for v in zip(*[(x, c) for c in (1, 5, 20, 30) for x in range(0, min(c, marked) + 1)]))
+        want = [sum(comb(marked, i) * comb(n - marked, c - i) for i in range(x, min(c, marked) + 1) if c - i <= n - marked) / comb(n, c) for x, c in zip(found.tolist(), count.tolist())]
+        assert np.allclose(upper_tail(found, count, marked, n), want, rtol=1e-6)
+
+
+def test_string_ids_several_labels_clashing_names(spark):
+    texts = [prose(i, 30) + (" nasty" if i % 2 else "") for i in range(120)]
+    frame = spark.createDataFrame([(f"d{i}", t, 1, "keep") for i, t in enumerate(texts)], "doc_id string, text string, _eta int, _severity string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(120)] + [(f"d{i}", 0) for i in range(1, 120, 2)], "doc_id string, toxic int")
+    model = fit_severity(frame, labels)
+    assert model.weights["nasty"] > 1 and model == fit_severity(frame.repartition(5), labels.repartition(3))
+    kept = reject_toxic(frame, model)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {f"d{i}" for i in range(0, 120, 2)}
+    assert {(r._eta, r._severity) for r in kept.collect()} == {(1, "keep")}
