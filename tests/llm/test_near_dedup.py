@@ -1,4 +1,3 @@
-import math
 import random
 from collections import Counter
 
@@ -6,7 +5,8 @@ import numpy as np
 
 from rankloom.llm.bag_minhash import multisets, signatures, weighted_jaccard
 from rankloom.llm.components import components
-from rankloom.llm.near_dedup import AGREE, REGISTERS, SIMILAR, drop_near_duplicates, near_duplicates
+from rankloom.llm import near_dedup
+from rankloom.llm.near_dedup import BAND_ROWS, REGISTERS, SIMILAR, difference, drop_near_duplicates, near_duplicates, spanning_links
 
 from .helpers import CLASH, LONG, ODD, docs, prose
 
@@ -111,9 +111,89 @@ def test_registers_agree_as_often_as_multisets_are_similar():
                                     (np.sort(element[b > 0]), b[b > 0][np.argsort(element[b > 0])])) - want) < 1e-12
 
 
-def test_a_similar_pair_rarely_fails_the_agreement_of_registers():
-    short = range(math.ceil(AGREE * REGISTERS))
-    assert sum(math.comb(REGISTERS, k) * SIMILAR ** k * (1 - SIMILAR) ** (REGISTERS - k) for k in short) < 1e-5
+def test_a_similar_pair_rarely_shares_no_bucket():
+    assert (1 - SIMILAR ** BAND_ROWS) ** (REGISTERS // BAND_ROWS) < 4e-6
+
+
+def family(n, seed=8):
+    """Texts of 400 words, six of which are replaced at places 4, 9, 14, ...: similar by about 0.74 to each other."""
+    draw, words = random.Random(seed), [f"word{i}" for i in range(400)]
+    texts = []
+    for k in range(n):
+        own = list(words)
+        for p in draw.sample(range(4, 396, 5), 6):
+            own[p] = f"text{k}p{p}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_a_family_below_the_threshold_puts_out_no_pairs(spark, monkeypatch):
+    """60 and 240 texts, nearly all single: rows out of each step grow with the texts, not with their pairs."""
+    rows, real = {}, near_dedup.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[n].setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    for n in (60, 240):
+        rows[n] = {}
+        texts = family(n)
+        assert {r.doc_id: r.class_id for r in near_duplicates(docs(spark, texts)).collect()} == classes(texts)
+    for name in rows[60]:
+        assert max(rows[240].get(name, [0])) <= 8 * max(*rows[60][name], 30), name  # pairs would be 16 times as many
+    bands = REGISTERS // BAND_ROWS
+    assert max(rows[240]["led"]) < bands * 240 and max(rows[240].get("open-links", [0])) < 240
+
+
+def test_cells_of_any_size_give_the_same_classes(spark, monkeypatch):
+    texts = near_threshold_class()[100:] + family(60)
+    want = classes(texts)
+    monkeypatch.setattr(near_dedup, "CELL_NODES", 7)
+    monkeypatch.setattr(near_dedup, "TOKENS", 64)
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs(spark, texts)).collect()} == want
+
+
+def test_differences_from_a_third_give_the_exact_distance():
+    draw = np.random.default_rng(7)
+    for _ in range(50):
+        bags = []
+        for _ in range(3):
+            element = np.flatnonzero(draw.random(40) < 0.7).astype(np.uint64)
+            bags.append((element, draw.integers(1, 5, len(element))))
+        a, b, lead = bags
+        d, e = difference(a, lead), difference(b, lead)
+        assert len(np.unique(d)) == len(d)
+        apart = len(d) + len(e) - 2 * len(np.intersect1d(d, e))
+        both = int(a[1].sum() + b[1].sum())
+        assert abs((both - apart) / (both + apart) - weighted_jaccard(a, b)) < 1e-12
+
+
+def test_links_of_a_cell_are_a_forest():
+    draw = np.random.default_rng(2)
+    for density in (0.02, 0.1, 0.6):
+        linked = draw.random((30, 50)) < density
+        links = list(spanning_links(linked))
+        assert all(linked[r, c] for r, c in links)
+
+        def groups(pairs):
+            parent = list(range(80))
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            joined = 0
+            for r, c in pairs:
+                x, y = root(r), root(30 + c)
+                parent[max(x, y)] = min(x, y)
+                joined += x != y
+            return [root(x) for x in range(80)], joined
+
+        every, needed = groups(zip(*np.nonzero(linked)))
+        assert groups(links) == (every, needed) and len(links) == needed
 
 
 def test_multiset_counts():
