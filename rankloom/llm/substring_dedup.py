@@ -13,6 +13,11 @@ places at least. Anchors are picked about once in 14 words.
    each form is spread into its windows, which are grouped by anchor and words.
 3. The words that repeated windows cover are cut out of each text.
 
+Equal means: equal 64-bit hashes of the anchor and of the whole window (or run), made of 64-bit hashes of the words.
+
+The window hashes of the runs are only made for the join that picks the runs to be spread, and are never written as a
+table; counting forms needs narrow rows alone. Tables that grow with the corpus are joined by shuffles at every size.
+
 The sketch has ``2 * 2**log2_cells`` cells whatever the input; a fuller sketch lets more windows through to
 the exact step, which costs time but changes no result. Two bits a cell travel from the tasks, one is sent to all.
 """
@@ -28,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import broadcast_if_small, stage, text_or_empty
+from rankloom.llm.common import stage, text_or_empty
 from rankloom.llm.wordhash import chunks, mix, span_hashes, words_of
 
 SIZE, GRAM = 35, 8
 LOG2_CELLS, LOG2_BLOCK = 26, 16
+#: Tasks whose sketches are merged in one group.
+MERGED = 64
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BASE = 0xD6E8FEB86659FD93
 
@@ -116,13 +123,23 @@ def _merged(blocks: pd.DataFrame) -> pd.DataFrame:
     for packed in blocks["cells"]:
         cells = np.frombuffer(zlib.decompress(packed), np.uint8)
         total = np.minimum(total + cells, 2) if len(total) else cells
-    return pd.DataFrame({"block": blocks["block"].iloc[:1], "often": [np.packbits(total >= 2).tobytes()]})
+    return pd.DataFrame({"block": blocks["block"].iloc[:1], "part": blocks["part"].iloc[:1] // MERGED, "cells": [zlib.compress(total.tobytes(), 1)]})
+
+
+def _often(blocks: pd.DataFrame) -> pd.DataFrame:
+    cells = np.frombuffer(zlib.decompress(_merged(blocks)["cells"].iloc[0]), np.uint8)
+    return pd.DataFrame({"block": blocks["block"].iloc[:1], "often": [np.packbits(cells >= 2).tobytes()]})
 
 
 def repeated_cells(numbered: DataFrame, size: int, log2_cells: int) -> np.ndarray:
-    """One bit per cell of the merged sketch: whether it counts two or more. Its size is fixed."""
+    """One bit per cell of the merged sketch: whether it counts two or more. Its size is fixed.
+
+    Blocks are merged for ``MERGED`` tasks at a time, then for all, so no group holds the sketches of all tasks.
+    """
     parts = numbered.mapInArrow(lambda batches: _sketch(batches, size, log2_cells), "block long, cells binary")
-    rows = parts.groupBy("block").applyInPandas(_merged, "block long, often binary").toPandas()
+    parts = parts.withColumn("part", F.spark_partition_id().cast("long")).withColumn("few", F.expr(f"part div {MERGED}"))
+    parts = parts.groupBy("block", "few").applyInPandas(_merged, "block long, part long, cells binary")
+    rows = parts.groupBy("block").applyInPandas(_often, "block long, often binary").toPandas()
     width = 1 << min(LOG2_BLOCK, log2_cells)
     bits = np.zeros((2 * (1 << log2_cells) // width, width // 8), np.uint8)
     for block, often in zip(rows["block"], rows["often"]):
@@ -130,8 +147,11 @@ def repeated_cells(numbered: DataFrame, size: int, log2_cells: int) -> np.ndarra
     return bits.reshape(2, -1)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], size: int, log2_cells: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(gram, form, row, start, windows): each run whose anchor may be repeated; form is a hash of all its words."""
+def _runs(batches: Iterator[pa.RecordBatch], size: int, log2_cells: int, often: np.ndarray, spread: bool) -> Iterator[pa.RecordBatch]:
+    """(gram, form, row, start, length): each run whose anchor may be repeated; form is a hash of all its words.
+
+    With ``spread`` the hashes of its windows come with it.
+    """
     for batch in batches:
         rows = batch.column(0).to_numpy()
         for begin, end, texts in chunks(batch.column(1)):
@@ -146,16 +166,18 @@ def _runs(batches: Iterator[pa.RecordBatch], size: int, log2_cells: int, often:
             run, length, gram = run[maybe], length[maybe], gram[maybe]
             if not len(run):
                 continue
-            offsets = np.concatenate([[0], np.cumsum(length)])
-            spot = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length)
-            hashes = windows.hashes(windows.start[np.repeat(run, length) + spot], size)
-            form = mix(np.add.reduceat(mix(hashes + spot.astype(np.uint64) * FACTORS[0]), offsets[:-1]) + length.astype(np.uint64))
-            doc = windows.doc[run]
-            yield pa.RecordBatch.from_pydict({
+            doc, start = windows.doc[run], windows.start[run]
+            form = mix(windows.hashes(start, length + size - 1) + length.astype(np.uint64) * FACTORS[0])
+            columns = {
                 "gram": pa.array(gram.view(np.int64)), "form": pa.array(form.view(np.int64)), "row": pa.array(rows[begin:end][doc], pa.int64()),
-                "start": pa.array(windows.start[run] - windows.first[doc], pa.int64()),
-                "windows": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64))),
-            })
+                "start": pa.array(start - windows.first[doc], pa.int64()), "length": pa.array(length, pa.int64()),
+            }
+            if spread:
+                offsets = np.concatenate([[0], np.cumsum(length)])
+                spot = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length)
+                hashes = windows.hashes(np.repeat(start, length) + spot, size)
+                columns["windows"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int, id_name: str) -> Iterator[pa.RecordBatch]:
@@ -199,15 +221,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
     often = spark.sparkContext.broadcast(repeated_cells(numbered, size, log2_cells))
-    runs = stage(numbered.mapInArrow(
-        lambda batches: _runs(batches, size, log2_cells, often.value), "gram long, form long, row long, start long, windows array<long>"), "runs")
-
-    forms = runs.groupBy("gram", "form").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("one"))
+    narrow, wide = "gram long, form long, row long, start long, length long", "windows array<long>"
+    runs = numbered.mapInArrow(lambda batches: _runs(batches, size, log2_cells, often.value, False), narrow)
+    forms = stage(runs.groupBy("gram", "form").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("one")), "forms")
     kinds = forms.groupBy("gram").agg(F.count("*").alias("kinds"))
-    forms = stage(forms.join(kinds, "gram").filter("n > 1 or kinds > 1"), "forms")
+    forms = forms.join(kinds, "gram").filter("n > 1 or kinds > 1")
     spread = (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("row", "start") == F.col("one")))
-    placed = stage(runs.join(broadcast_if_small(forms), ["gram", "form"]).select(
-        "gram", "n", "row", "start", F.size("windows").cast("long").alias("length"), F.when(spread, F.col("windows")).alias("windows")), "placed")
+    runs = numbered.mapInArrow(lambda batches: _runs(batches, size, log2_cells, often.value, True), f"{narrow}, {wide}")
+    placed = stage(runs.join(forms, ["gram", "form"]).select(
+        "gram", "n", "row", "start", "length", F.when(spread, F.col("windows")).alias("windows")), "placed")
 
     whole = placed.filter("n > 1").select("row", "start", "length")
     each = placed.filter("windows is not null").select("gram", "n", "row", "start", F.posexplode("windows").alias("k", "words"))
