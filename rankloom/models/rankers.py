@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import add, or_
 
 import numpy as np
@@ -23,7 +23,7 @@ from rankloom.operators.metrics import mean_ndcg
 from rankloom.operators.relative import first_value, score_order, sort_score_features
 from rankloom.operators.sampling import drop_negatives, fold_of
 from rankloom.operators.skew import with_position
-from rankloom.session import cut_lineage
+from rankloom.session import cut_lineage, together
 
 PAIR = ["srch_id", "prop_id"]
 XENDCG_SEEDS = (42, 2026, 777, 1337, 9001)
@@ -102,11 +102,13 @@ def xendcg_average(
     seed_rounds: Sequence[int] | None = None, **options
 ) -> tuple[DataFrame, list[RankModel]]:
     """Mean over seeds of the per-search z scores; ``seed_rounds`` gives each seed its own number of rounds."""
-    scored, models = target.select(*PAIR), []
-    for i, seed in enumerate(seeds):
+    def fitted(i: int) -> RankModel:
         own = {**options, "rounds": max(seed_rounds[i], 1)} if seed_rounds else options
-        model = fit_xendcg(train, validation, features, seed, **own)
-        models.append(model)
+        return fit_xendcg(train, validation, features, seeds[i], **own)
+
+    models = together(target.sparkSession, [partial(fitted, i) for i in range(len(seeds))])
+    scored = target.select(*PAIR)
+    for seed, model in zip(seeds, models):
         scored = attach_scores(scored, model.predict(target, f"_x{seed}"), check=False)
     names = [f"_x{s}" for s in seeds]
     averaged = mean_score(z_scores(scored, names), [f"{n}_z" for n in names], out)
@@ -148,11 +150,13 @@ def sort_emulator(
     """
     features = target_free(feature_columns(train.columns))
     folded = train.withColumn("fold", fold_of(n_folds))
-    parts = []
-    for f in range(n_folds):
+
+    def fold_scores(f: int) -> DataFrame:
         model = _fit_sort(folded.where(F.col("fold") != f), features, rounds, seed + f)
         rows = assemble(folded.where(F.col("fold") == f), features, PAIR)
-        parts.append(model.setPredictionCol("sort_emulator_score").transform(rows).select(*PAIR, "sort_emulator_score"))
+        return model.setPredictionCol("sort_emulator_score").transform(rows).select(*PAIR, "sort_emulator_score")
+
+    parts = together(train.sparkSession, [partial(fold_scores, f) for f in range(n_folds)])
     scores = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     done = sort_score_features(train.join(scores, PAIR, "left"))
     if holdout is None:
@@ -200,13 +204,14 @@ def fit_meta(
 ) -> MetaResult:
     """Out-of-fold stacker, and a final fit with the median of the best rounds."""
     table = cut_lineage(df.withColumn("fold", fold_of(n_folds)))
-    parts, best, fold_scores = [], [], []
-    for f in range(n_folds):
+
+    def fold_model(f: int) -> RankModel:
         fit, hold = table.where(F.col("fold") != f), table.where(F.col("fold") == f)
-        model = fit_ranker(fit, features, XeNdcg(seed + f), rounds=rounds, validation=hold, seed=seed + f, **options)
-        best.append(model.best_round)
-        fold_scores.append(max(model.history, default=0.0))
-        parts.append(model.predict(hold, "meta_oof_score", snapshots=None))
+        return fit_ranker(fit, features, XeNdcg(seed + f), rounds=rounds, validation=hold, seed=seed + f, **options)
+
+    models = together(df.sparkSession, [partial(fold_model, f) for f in range(n_folds)])
+    best, fold_scores = [m.best_round for m in models], [max(m.history, default=0.0) for m in models]
+    parts = [m.predict(table.where(F.col("fold") == f), "meta_oof_score", snapshots=None) for f, m in enumerate(models)]
     scores = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
     final_rounds = int(np.median(best))
     final = fit_ranker(table, features, XeNdcg(seed + 999), rounds=final_rounds, seed=seed + 999, **options)

@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+_inside = threading.local()
+
 
 def build_session(app: str = "rankloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with AQE, runtime skew handling and UTC timestamps.
 
-    Broadcasts are left to Spark's own size checks: no plan in this package
-    carries a broadcast hint, so a lookup table is broadcast only while its
-    measured size is under ``autoBroadcastJoinThreshold``.
+    Broadcasts are left to Spark's own size checks, but for fitted tables that
+    were counted first and lie within a fixed number of rows.
     """
     settings = {
         "spark.sql.adaptive.enabled": "true",
@@ -36,6 +43,24 @@ def build_session(app: str = "rankloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def together(spark: SparkSession, tasks: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Results of ``tasks`` in order; up to ``at_once`` of them submit their jobs at the same time.
+
+    For independent work in many small jobs, whose latency would add up. Each thread inherits the caller's local
+    properties. The first error is raised when all have ended; nested calls run one after another.
+    """
+    if at_once < 2 or len(tasks) < 2 or getattr(_inside, "pool", False):
+        return [task() for task in tasks]
+
+    def run(task: Callable[[], T]) -> T:
+        _inside.pool = True
+        return task()
+
+    with ThreadPoolExecutor(min(at_once, len(tasks))) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(run), task) for task in tasks]
+    return [w.result() for w in waiting]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session, from ``spark.checkpoint.dir``.
 
