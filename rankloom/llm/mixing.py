@@ -86,7 +86,7 @@ def solve_tilts(counts: DataFrame, targets: DataFrame, limit: int = LIMIT, steps
         sums = work.groupBy("sid").agg(
             _exact(F.col("n") * F.col("x") * F.col("rate")).alias("taken"),
             _exact(F.when(inner, F.col("n") * F.col("x") * F.col("x") * F.col("rate")).otherwise(0.0)).alias("bend"))
-        step = state.join(broadcast_if_small(sums), "sid", "left").withColumn("gap", F.col("taken") - F.col("target") / F.col("mean"))
+        step = state.join(sums, "sid", "left").withColumn("gap", F.col("taken") - F.col("target") / F.col("mean"))
         step = step.withColumns({
             "low": F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("low")),
             "high": F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("high"))})
