@@ -117,13 +117,13 @@ _Z = [f"{c}_z" for c in SCORES]
 
 @query("J6_fit_blend")
 def fit_blend(ctx):
-    fit = blend_search.fit_blend(_zed(ctx), _Z, signed=False, rounds=3)
+    fit = blend_search.fit_blend(_zed(ctx), _Z, signed=False)
     return _fit_row(ctx, {**fit.weights, "ndcg5": fit.ndcg, "oof_ndcg5": fit.oof_ndcg})
 
 
 @query("J7_J8_fit_signed_blend_oof")
 def fit_signed(ctx):
-    fit = blend_search.fit_blend(_zed(ctx), _Z, signed=True, rounds=3)
+    fit = blend_search.fit_blend(_zed(ctx), _Z, signed=True)
     return _fit_row(ctx, {**fit.weights, "ndcg5": fit.ndcg, "oof_ndcg5": fit.oof_ndcg})
 
 
@@ -141,7 +141,7 @@ def segment_blend(ctx):
 
 @query("J9_fit_segment_blend_oof")
 def fit_segment(ctx):
-    fit = blend_search.fit_segment_blend(_zed(ctx), _Z, "is_domestic", rounds=2)
+    fit = blend_search.fit_segment_blend(_zed(ctx), _Z, "is_domestic")
     return _fit_row(ctx, {"segment": fit.segment, "oof_ndcg5": fit.oof_ndcg, "in_sample_ndcg5": fit.in_sample_ndcg})
 
 
@@ -165,7 +165,7 @@ def residual_alpha(ctx):
 @query("J12_J13_leave_one_model_out")
 def leave_one_out(ctx):
     renamed = ctx.scored.withColumnsRenamed({"s1": "click_score", "s2": "lr_score", "s3": "pw_score"})
-    kept, record = blend_search.leave_one_model_out(renamed, ["pw_score", "click_score", "lr_score"], rounds=1)
+    kept, record = blend_search.leave_one_model_out(renamed, ["pw_score", "click_score", "lr_score"])
     rrf = fusion.reciprocal_rank_fusion(renamed, kept, oversized=ctx.big)
     from rankloom.operators.metrics import mean_ndcg
 

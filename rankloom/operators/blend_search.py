@@ -1,24 +1,25 @@
 """Fitting blend weights on NDCG.
 
-NDCG is piecewise constant in the weights, so the fit is a compass search. One
-Spark job scores a whole batch of weight vectors: each row carries its gain over
-the search's ideal, is expanded to (vector, score) pairs, and only the top k of
-each (vector, search) leave the map side. What comes back is one number per
-vector, fold and segment. Because NDCG is a mean over searches, the fit without
-fold f is the total minus fold f, so out-of-fold choices need no further jobs.
+NDCG is piecewise constant in the weights, so the fit is a compass search. Every (segment, left-out fold) has a
+centre of its own, which moves by the NDCG of the searches outside that fold alone: a fold's weights never depend
+on its own labels. One Spark job a round scores the moves of all centres. Each row carries its gain over the
+search's ideal, meets the weight vectors its segment asks for, and only the top k of each (vector, search) leave
+the map side. What comes back is one number per vector, segment and fold.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.rows import relevance
-from rankloom.operators.fusion import linear, segment_blend, z_scores
+from rankloom.operators.fusion import segment_blend, z_scores
 from rankloom.operators.joins import top_k
 from rankloom.operators.metrics import discount, ideal_dcg, mean_ndcg
 from rankloom.operators.sampling import fold_of
@@ -26,6 +27,9 @@ from rankloom.session import cut_lineage
 
 K = 5
 PENALTY = 1e-4
+#: Segment of every row where none is asked for.
+ALL = "all"
+Vector = tuple[float, ...]
 
 
 def normalise(raw: Sequence[float], signed: bool) -> tuple[float, ...]:
@@ -40,74 +44,108 @@ def normalise(raw: Sequence[float], signed: bool) -> tuple[float, ...]:
 def gain_frame(
     df: DataFrame, scores: Sequence[str], n_folds: int, segment: str | None = None, k: int = K
 ) -> DataFrame:
-    """Narrow checkpointed frame: keys, fold, segment, scores, relevance over ideal DCG."""
+    """Narrow checkpointed frame: keys, fold, segment as text, scores, relevance over ideal DCG."""
     keys = ["srch_id"] + ([segment] if segment else [])
     booked = F.col("booking_bool").cast("long")
     clicked = F.greatest(F.col("click_bool") - F.col("booking_bool"), F.lit(0)).cast("long")
     ideal = df.groupBy(*keys).agg(ideal_dcg(F.sum(booked), F.sum(clicked), k).alias("_ideal"))
     gain = F.when(F.col("_ideal") > 0, relevance() / F.col("_ideal")).otherwise(0.0)
     narrow = df.select(*keys, "prop_id", "booking_bool", "click_bool", *scores)
+    part = F.col(segment).cast("string") if segment else F.lit(ALL)
     return cut_lineage(
         narrow.join(ideal, keys, "left").select(
-            *keys, "prop_id", *scores, gain.alias("_gain"), fold_of(n_folds).alias("fold")
+            "srch_id", "prop_id", part.alias("seg"), *scores, gain.alias("_gain"), fold_of(n_folds).alias("fold")
         )
     )
 
 
 @dataclass
 class Pool:
-    """Every weight vector scored so far, with NDCG sums by vector, fold and segment."""
+    """NDCG sums by fold of every (segment, weight vector) scored so far."""
 
     frame: DataFrame
     scores: Sequence[str]
-    n_folds: int
-    segment: str | None = None
-    vectors: list[tuple[float, ...]] = field(default_factory=list)
-    sums: dict[tuple[float, ...], dict[tuple[int, str], float]] = field(default_factory=dict)
-    searches: dict[tuple[int, str], int] = field(default_factory=dict)
+    sums: dict[tuple[str, Vector], dict[int, float]] = field(default_factory=dict)
+    searches: dict[str, dict[int, int]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        part = F.col(self.segment).cast("string") if self.segment else F.lit("all")
-        rows = (
-            self.frame.select("srch_id", "fold", part.alias("seg")).distinct()
-            .groupBy("fold", "seg").count().collect()
-        )
-        self.searches = {(r["fold"], r["seg"]): r["count"] for r in rows}
+        rows = self.frame.select("srch_id", "fold", "seg").distinct().groupBy("fold", "seg").count().collect()
+        for r in rows:
+            self.searches.setdefault(r["seg"], {})[r["fold"]] = r["count"]
+
+    def evaluate(self, wanted: Mapping[str, Sequence[Vector]]) -> None:
+        """Score the vectors each segment asks for on that segment's rows, all in one job.
 
-    def evaluate(self, vectors: Sequence[tuple[float, ...]]) -> None:
-        todo = [v for v in dict.fromkeys(vectors) if v not in self.sums]
+        What is broadcast is the search's own list: at most (centres x moves) vectors a segment.
+        """
+        new = {seg: [v for v in dict.fromkeys(vs) if (seg, v) not in self.sums] for seg, vs in wanted.items()}
+        todo = {seg: vs for seg, vs in new.items() if vs}
         if not todo:
             return
-        part = F.col(self.segment).cast("string") if self.segment else F.lit("all")
-        lanes = F.array(*[
-            F.struct(F.lit(i).alias("lane"), linear(dict(zip(self.scores, v))).alias("score"))
-            for i, v in enumerate(todo)
-        ])
-        rows = self.frame.select(
-            "srch_id", "prop_id", "fold", part.alias("seg"), "_gain", F.explode(lanes).alias("_l")
-        ).select("srch_id", "prop_id", "fold", "seg", "_gain", "_l.lane", "_l.score")
+        names = [f"w{i}" for i in range(len(self.scores))]
+        lane = "array<struct<lane:int," + ",".join(f"{n}:double" for n in names) + ">>"
+        asked = self.frame.sparkSession.createDataFrame(
+            [(seg, [(i, *v) for i, v in enumerate(vs)]) for seg, vs in todo.items()], f"seg string, _lanes {lane}"
+        )
+        wide = self.frame.join(F.broadcast(asked), "seg").withColumn("_l", F.explode("_lanes"))
+        score = reduce(add, [F.col(f"_l.{n}") * F.col(c) for n, c in zip(names, self.scores)])
+        rows = wide.select("srch_id", "prop_id", "fold", "seg", "_gain", F.col("_l.lane").alias("lane"), score.alias("score"))
         best = top_k(rows, "score", K, "_rank", ("lane", "srch_id", "seg"))
         sums = best.groupBy("lane", "fold", "seg").agg(
             F.sum(F.col("_gain") * discount(F.col("_rank"))).alias("s")
         ).collect()
-        for v in todo:
-            self.sums[v] = {}
-            self.vectors.append(v)
+        self.sums |= {(seg, v): {} for seg, vs in todo.items() for v in vs}
         for r in sums:
-            self.sums[todo[r["lane"]]][(r["fold"], r["seg"])] = r["s"]
+            self.sums[r["seg"], todo[r["seg"]][r["lane"]]][r["fold"]] = r["s"]
 
-    def ndcg(self, vector: tuple[float, ...], skip_fold: int | None = None, seg: str | None = None) -> float:
-        cells = [c for c in self.searches if c[0] != skip_fold and (seg is None or c[1] == seg)]
-        total = sum(self.searches[c] for c in cells)
-        return sum(self.sums[vector].get(c, 0.0) for c in cells) / total if total else 0.0
+    def ndcg(self, vector: Vector, skip_fold: int | None = None, seg: str = ALL) -> float:
+        sizes = {f: n for f, n in self.searches.get(seg, {}).items() if f != skip_fold}
+        total = sum(sizes.values())
+        return sum(self.sums[seg, vector].get(f, 0.0) for f in sizes) / total if total else 0.0
 
-    def objective(self, vector, signed: bool, skip_fold=None, seg=None) -> float:
+    def objective(self, vector: Vector, signed: bool, skip_fold: int | None = None, seg: str = ALL) -> float:
         cost = PENALTY * float(np.square(vector).sum()) if signed else 0.0
         return self.ndcg(vector, skip_fold, seg) - cost
 
-    def best(self, signed: bool, skip_fold=None, seg=None) -> tuple[float, ...]:
-        # ties go to the vector that was scored first
-        return max(self.vectors, key=lambda v: (self.objective(v, signed, skip_fold, seg), -self.vectors.index(v)))
+    def best(self, vectors: Sequence[Vector], signed: bool, skip_fold: int | None = None, seg: str = ALL) -> Vector:
+        """The vector of largest objective; ties, up to the order of summation, go to the one that comes first."""
+        return max(vectors, key=lambda v: round(self.objective(v, signed, skip_fold, seg), 12))
+
+    def out_of_fold(self, chosen: Mapping[int, Vector]) -> float:
+        """Mean NDCG over all searches, each scored by the vector chosen without its fold."""
+        sizes = self.searches.get(ALL, {})
+        total = sum(sizes.values())
+        return sum(self.sums[ALL, chosen[f]].get(f, 0.0) for f in sizes) / total if total else 0.0
+
+
+@dataclass
+class Centre:
+    """Where the search of one segment, without one fold, stands."""
+
+    seg: str
+    skip_fold: int | None
+    start: Sequence[Vector]
+    step: float
+    at: Vector | None = None
+
+    def moves(self, signed: bool) -> list[Vector]:
+        if self.at is None:
+            return list(self.start)
+        out = []
+        for i in range(len(self.at)):
+            for sign in (1, -1):
+                w = list(self.at)
+                w[i] += sign * self.step
+                out.append(normalise(w, signed))
+        return out
+
+    def take(self, pool: Pool, signed: bool, moves: Sequence[Vector]) -> None:
+        """Go to the best move; shorten the step when none is better than here."""
+        here = [] if self.at is None else [self.at]
+        best = pool.best([*here, *moves], signed, self.skip_fold, self.seg)
+        if best == self.at:
+            self.step /= 2
+        self.at = best
 
 
 @dataclass
@@ -116,7 +154,6 @@ class BlendFit:
     ndcg: float
     oof_ndcg: float
     fold_weights: list[dict[str, float]]
-    pool: Pool
 
 
 def starting_points(scores: Sequence[str], signed: bool) -> list[tuple[float, ...]]:
@@ -135,37 +172,29 @@ def starting_points(scores: Sequence[str], signed: bool) -> list[tuple[float, ..
     return starts
 
 
-def search_weights(pool: Pool, signed: bool, seg: str | None = None, rounds: int = 6, step: float = 0.4) -> None:
-    """Compass search from the starting points; every vector scored stays in the pool."""
-    pool.evaluate(starting_points(pool.scores, signed))
-    n = len(pool.scores)
-    for _ in range(rounds):
-        centre = pool.best(signed, seg=seg)
-        moves = []
-        for i in range(n):
-            for sign in (1, -1):
-                w = list(centre)
-                w[i] += sign * step
-                moves.append(normalise(w, signed))
-        pool.evaluate(moves)
-        if pool.best(signed, seg=seg) == centre:
-            step /= 2
+def search_weights(pool: Pool, signed: bool, centres: Sequence[Centre], rounds: int = 6) -> None:
+    """Compass search of all centres side by side: one job for the starts and one a round, however many centres."""
+    for _ in range(rounds + 1):
+        moves = [c.moves(signed) for c in centres]
+        wanted: dict[str, list[Vector]] = {}
+        for c, m in zip(centres, moves):
+            wanted.setdefault(c.seg, []).extend(m)
+        pool.evaluate(wanted)
+        for c, m in zip(centres, moves):
+            c.take(pool, signed, m)
 
 
 def fit_blend(
-    df: DataFrame, scores: Sequence[str], signed: bool = False, n_folds: int = 10, rounds: int = 6
+    df: DataFrame, scores: Sequence[str], signed: bool = False, n_folds: int = 10, rounds: int = 6, step: float = 0.4
 ) -> BlendFit:
-    """Weights on all searches, and the out-of-fold NDCG of the same search."""
-    pool = Pool(gain_frame(df, scores, n_folds), list(scores), n_folds)
-    search_weights(pool, signed, rounds=rounds)
+    """Weights on all searches, and the out-of-fold NDCG of a search of its own for every fold."""
+    pool = Pool(gain_frame(df, scores, n_folds), list(scores))
+    start = starting_points(scores, signed)
+    whole, *folds = [Centre(ALL, skip, start, step) for skip in (None, *range(n_folds))]
+    search_weights(pool, signed, [whole, *folds], rounds)
     named = lambda v: dict(zip(scores, v))
-    top = pool.best(signed)
-    per_fold = {f: pool.best(signed, skip_fold=f) for f in range(n_folds)}
-    total = sum(pool.searches.values())
-    oof = sum(
-        pool.sums[per_fold[f]].get((f, seg), 0.0) for f, seg in pool.searches
-    ) / total if total else 0.0
-    return BlendFit(named(top), pool.ndcg(top), oof, [named(per_fold[f]) for f in range(n_folds)], pool)
+    oof = pool.out_of_fold({c.skip_fold: c.at for c in folds})
+    return BlendFit(named(whole.at), pool.ndcg(whole.at), oof, [named(c.at) for c in folds])
 
 
 @dataclass
@@ -176,6 +205,7 @@ class SegmentBlend:
     segments: dict[str, dict[str, float]]
     oof_ndcg: float
     in_sample_ndcg: float
+    fold_segments: list[dict[str, dict[str, float]]] = field(default_factory=list)
 
 
 def _shrunk(global_w, local_w, shrinkage: float) -> tuple[float, ...]:
@@ -185,35 +215,41 @@ def _shrunk(global_w, local_w, shrinkage: float) -> tuple[float, ...]:
 
 def fit_segment_blend(
     df: DataFrame, scores: Sequence[str], segment: str, shrinkage: float = 0.30, n_folds: int = 10, rounds: int = 6,
-    min_searches: int = 10, max_values: int = 1_000,
+    min_searches: int = 10, max_values: int = 1_000, overall: BlendFit | None = None, step: float = 0.4,
 ) -> SegmentBlend:
     """Signed weights per segment, pulled from the global fit by ``shrinkage``.
 
-    A segment value with fewer than ``min_searches`` searches takes the global weights. Every value is
-    searched in jobs of its own, so more than ``max_values`` of them are an error.
+    A segment value with fewer than ``min_searches`` searches takes the global weights. The searches of all values
+    and folds share their jobs; each starts at the global weights of the same fold. The driver holds their
+    centres, so more than ``max_values`` values are an error. ``overall`` is a signed fit of the same scores and
+    folds, made here when it is not given.
     """
-    overall = fit_blend(df, scores, signed=True, n_folds=n_folds, rounds=rounds).pool
-    local = Pool(gain_frame(df, scores, n_folds, segment), list(scores), n_folds, segment)
-    local.evaluate(overall.vectors)
-    values = sorted({seg for _, seg in local.searches if seg is not None})
-    if len(values) > max_values:
+    overall = overall or fit_blend(df, scores, True, n_folds, rounds, step)
+    if len(overall.fold_weights) != n_folds or list(overall.weights) != list(scores):
+        raise ValueError("the overall fit has other scores or folds")
+    frame = gain_frame(df, scores, n_folds, segment)
+    if frame.where(F.col("seg").isNotNull()).select("seg").distinct().limit(max_values + 1).count() > max_values:
         raise ValueError(f"{segment} has more than {max_values} values")
-    for value in values:
-        search_weights(local, True, seg=value, rounds=rounds)
-
-    def weights(skip: int | None) -> tuple[tuple[float, ...], dict[str, tuple[float, ...]]]:
-        base = overall.best(True, skip_fold=skip)
+    local = Pool(frame, list(scores))
+    values = sorted(seg for seg in local.searches if seg is not None)
+    skips = (None, *range(n_folds))
+    globally = {f: tuple((overall.weights if f is None else overall.fold_weights[f]).values()) for f in skips}
+    first = starting_points(scores, True)
+    centres = {(v, f): Centre(v, f, [globally[f], *first], step) for v in values for f in skips}
+    search_weights(local, True, list(centres.values()), rounds)
+
+    def weights(skip: int | None) -> tuple[Vector, dict[str, Vector]]:
         table = {}
         for value in values:
-            size = sum(n for (f, s), n in local.searches.items() if s == value and f != skip)
-            own = local.best(True, skip_fold=skip, seg=value)
-            table[value] = _shrunk(base, own, shrinkage) if size >= min_searches else base
-        return base, table
+            size = sum(n for f, n in local.searches[value].items() if f != skip)
+            own = centres[value, skip].at
+            table[value] = _shrunk(globally[skip], own, shrinkage) if size >= min_searches else globally[skip]
+        return globally[skip], table
 
     base, table = weights(None)
+    fold_tables = [weights(f) for f in range(n_folds)]
     rows = []
-    for f in range(n_folds):
-        fold_base, fold_table = weights(f)
+    for f, (fold_base, fold_table) in enumerate(fold_tables):
         rows += [(f, v, *map(float, fold_table[v])) for v in values]
         rows.append((f, None, *map(float, fold_base)))
     names = [f"_w{i}" for i in range(len(scores))]
@@ -229,7 +265,8 @@ def fit_segment_blend(
     named = lambda v: dict(zip(scores, v))
     fitted = {value: named(w) for value, w in table.items()}
     inside = mean_ndcg(segment_blend(df, segment, fitted, named(base), "_blend"), "_blend")
-    return SegmentBlend(segment, shrinkage, named(base), fitted, oof, inside)
+    per_value = [{value: named(w) for value, w in t.items()} for _, t in fold_tables]
+    return SegmentBlend(segment, shrinkage, named(base), fitted, oof, inside, per_value)
 
 
 def residual_alpha(
@@ -243,13 +280,11 @@ def residual_alpha(
     zed = z_scores(df, [base, meta])
     gap = F.greatest(F.least(F.col(f"{meta}_z") - F.col(f"{base}_z"), F.lit(3.0)), F.lit(-3.0))
     parts = zed.withColumn("_base", F.col(f"{base}_z")).withColumn("_gap", gap)
-    pool = Pool(gain_frame(parts, ["_base", "_gap"], n_folds), ["_base", "_gap"], n_folds)
+    pool = Pool(gain_frame(parts, ["_base", "_gap"], n_folds), ["_base", "_gap"])
     grid = [(1.0, float(a)) for a in alphas]
-    pool.evaluate(grid)
-    per_fold = [pool.best(False, skip_fold=f)[1] for f in range(n_folds)]
-    total = sum(pool.searches.values())
-    oof = sum(pool.sums[(1.0, per_fold[f])].get((f, s), 0.0) for f, s in pool.searches) / total if total else 0.0
-    return pool.best(False)[1], oof, per_fold
+    pool.evaluate({ALL: grid})
+    chosen = {f: pool.best(grid, False, f) for f in range(n_folds)}
+    return pool.best(grid, False)[1], pool.out_of_fold(chosen), [v[1] for v in chosen.values()]
 
 
 def leave_one_model_out(

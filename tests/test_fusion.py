@@ -4,6 +4,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from rankloom.operators import blend_search, fusion, metrics
+from rankloom.operators.sampling import fold_of
 
 
 def frame(spark, values):
@@ -45,6 +46,56 @@ def test_blend_fit(log, signed):
     assert 0 <= fit.oof_ndcg <= 1
 
 
+def _three_scores(log):
+    df = log.withColumns({
+        "a": F.col("prop_location_score1"), "b": -F.col("price_usd"), "c": F.coalesce("prop_location_score2", F.lit(0.0)),
+        "is_domestic": (F.col("visitor_location_country_id") == F.col("prop_country_id")).cast("int"),
+    })
+    return fusion.z_scores(df, ["a", "b", "c"]).cache()
+
+
+Z = ["a_z", "b_z", "c_z"]
+
+
+def test_labels_of_a_fold_do_not_move_its_weights(log):
+    zed = _three_scores(log)
+    held = fold_of(3) == 1
+    other = zed.withColumns({
+        "booking_bool": F.when(held, (F.col("prop_id") % 3 == 0).cast("int")).otherwise(F.col("booking_bool")),
+        "click_bool": F.when(held, (F.col("prop_id") % 3 == 0).cast("int")).otherwise(F.col("click_bool")),
+    })
+    before, after = (blend_search.fit_blend(x, Z, True, n_folds=3, rounds=3) for x in (zed, other))
+    assert before.fold_weights[1] == after.fold_weights[1]
+    assert before.fold_weights != after.fold_weights or before.weights != after.weights
+    parts = [blend_search.fit_segment_blend(x, Z, "is_domestic", n_folds=3, rounds=2, overall=fit)
+             for x, fit in ((zed, before), (other, after))]
+    assert parts[0].fold_segments[1] == parts[1].fold_segments[1]
+    assert parts[0].segments != parts[1].segments
+
+
+def test_every_fold_has_the_search_of_a_fit_without_it(log):
+    """A fold's weights are those of a whole fit on the other folds' searches."""
+    zed = _three_scores(log)
+    fit = blend_search.fit_blend(zed, Z, True, n_folds=3, rounds=3)
+    for f in range(3):
+        alone = blend_search.fit_blend(zed.where(fold_of(3) != f), Z, True, n_folds=3, rounds=3)
+        assert alone.weights == fit.fold_weights[f]
+
+
+def test_jobs_do_not_grow_with_folds_or_segments(log, monkeypatch):
+    zed, calls = _three_scores(log), []
+    plain = blend_search.Pool.evaluate
+    monkeypatch.setattr(blend_search.Pool, "evaluate", lambda self, wanted: calls.append(len(wanted)) or plain(self, wanted))
+    for n_folds in (2, 6):
+        blend_search.fit_blend(zed, Z, n_folds=n_folds, rounds=2)
+    assert calls == [1] * 6
+    calls.clear()
+    blend_search.fit_segment_blend(zed, Z, "is_domestic", n_folds=4, rounds=2)
+    assert calls == [1] * 3 + [2] * 3
+    with pytest.raises(ValueError):
+        blend_search.fit_segment_blend(zed, Z, "is_domestic", n_folds=2, rounds=1, max_values=1)
+
+
 def test_segment_fit_and_apply(log):
     df = log.withColumns({
         "a": F.col("prop_location_score1"), "b": -F.col("price_usd"),
