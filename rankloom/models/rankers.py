@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.rows import available, feature_columns, finite_or_null
 from rankloom.models.assemble import assemble, target_free
 from rankloom.models.boost import SNAPSHOTS, RankModel, fit_ranker
+from rankloom.models.ensemble import add_sum
 from rankloom.models.objectives import LambdaRank, XeNdcg, YetiRank
 from rankloom.operators.fusion import mean_score, rank_scores, score_normalizations, z_scores
 from rankloom.operators.joins import attach_scores
@@ -42,14 +43,11 @@ class BinaryModel:
     def predict(self, df: DataFrame, out: str, snapshots: Sequence[float] | None = SNAPSHOTS) -> DataFrame:
         trees, weights = self.model.trees[:self.best_round], self.model.treeWeights[:self.best_round]
         stops = sorted({max(1, int(round(len(trees) * s))) for s in (snapshots or (1.0,))})
-        base = assemble(df, self.features, PAIR).withColumns({f"_m{s}": F.lit(0.0) for s in stops})
-        for i, (tree, weight) in enumerate(zip(trees, weights)):
-            base = tree.setPredictionCol("_tree").transform(base)
-            base = base.withColumns({
-                f"_m{s}": F.col(f"_m{s}") + F.lit(float(weight)) * F.col("_tree") for s in stops if i < s
-            }).drop("_tree")
+        scored = assemble(df, self.features, PAIR).withColumns({f"_m{s}": F.lit(0.0) for s in stops})
+        for s in stops:
+            scored = add_sum(scored, trees[:s], weights[:s], len(self.features), f"_m{s}")
         chance = reduce(add, [1 / (1 + F.exp(-2 * F.col(f"_m{s}"))) for s in stops]) / len(stops)
-        return base.select(*PAIR, chance.alias(out))
+        return scored.select(*PAIR, chance.alias(out))
 
 
 def fit_binary(

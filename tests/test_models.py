@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -7,7 +8,9 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.rows import relevance
 from rankloom.models import rankers
+from rankloom.models.assemble import assemble
 from rankloom.models.boost import fit_ranker, snapshot_weights
+from rankloom.models.ensemble import ensemble
 from rankloom.models.objectives import LambdaRank, XeNdcg, YetiRank
 from rankloom.operators import metrics
 
@@ -67,6 +70,23 @@ def test_score_cut_does_not_change_the_model(frame, monkeypatch):
     np.testing.assert_allclose(once, run(), atol=1e-9)
 
 
+def test_one_projection_for_five_hundred_trees(frame):
+    """The assembled model gives the sums of a chain of single trees, and its plan does not grow with trees."""
+    model = fit_ranker(frame, FEATURES, XeNdcg(), rounds=4, depth=2, min_rows=5)
+    many = replace(model, trees=model.trees * 125, best_round=500)
+    scored = many.predict(frame, "s")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) == len(replace(many, trees=model.trees, best_round=4).predict(frame, "s")._jdf.queryExecution().executedPlan().toString())
+    got = rows_of(scored)["s"]
+    rows = assemble(frame, FEATURES, ("srch_id", "prop_id"))
+    each = [rows_of(t.setPredictionCol("t").transform(rows).select("srch_id", "prop_id", "t"))["t"] for t in model.trees]
+    shares = snapshot_weights(500)
+    want = sum(model.rate * w * each[i % 4] for i, w in enumerate(shares))
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
+    with pytest.raises(ValueError):
+        ensemble([], [], 1)
+
+
 def test_snapshot_weights():
     assert snapshot_weights(1) == [1.0]
     w = snapshot_weights(100)
