@@ -95,6 +95,45 @@ def ranked_list_guard(ctx):
     return back.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("srch_id").alias("n_searches"))
 
 
+@query(
+    "A7_ranked_list_refusals",
+    """
+SELECT 'existing' AS trial, TRUE AS refused, count(*) AS n_rows FROM log UNION ALL
+SELECT 'count', TRUE, count(*) + 1 FROM log UNION ALL SELECT 'order', count(DISTINCT srch_id) > 1, count(*) FROM log UNION ALL
+SELECT 'none', FALSE, count(*) FROM log""",
+    exact="trial refused n_rows",
+)
+def ranked_list_refusals(ctx):
+    """What the guards refuse: to overwrite a list, a wrong number of rows, and ids that fall across files."""
+    import uuid
+
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import functions as F
+
+    n = ctx.log.count()
+    good, bad = (stage_folder(ctx.spark, f"list-{uuid.uuid4().hex}") for _ in range(2))
+    sinks.write_ranked_list(ctx.scored, "s1", good)
+    falling = ctx.scored.select("srch_id", "prop_id").orderBy(F.desc("srch_id"))
+    falling.write.csv(bad, header=True)
+
+    def refused(attempt) -> bool:
+        try:
+            attempt()
+        except (AnalysisException, ValueError):
+            return True
+        return False
+
+    trials = [
+        ("existing", n, lambda: sinks.write_ranked_list(ctx.scored, "s1", good)),
+        ("count", n + 1, lambda: sinks.check_ranked_list(ctx.spark, good, n + 1)),
+        ("order", n, lambda: sinks.check_ranked_list(ctx.spark, bad, n)),
+        ("none", n, lambda: sinks.check_ranked_list(ctx.spark, good, n)),
+    ]
+    return ctx.spark.createDataFrame(
+        [(name, refused(attempt), rows) for name, rows, attempt in trials], "trial string, refused boolean, n_rows long"
+    )
+
+
 @query(
     "A8_run_record",
     "SELECT count(*) AS n_rows, avg(CAST(booking_bool AS DOUBLE)) AS booking_rate FROM log",

@@ -77,6 +77,34 @@ def test_ranked_list_order_and_guards(log, tmp_path):
     assert got == list(zip(want["srch_id"], want["prop_id"]))
 
 
+def test_written_list_is_checked_across_files_and_within(spark, tmp_path):
+    def listed(name, ids, parts):
+        path = str(tmp_path / name)
+        spark.createDataFrame([(i, 1) for i in ids], "srch_id long, prop_id long").coalesce(parts).write.csv(path, header=True)
+        return path
+
+    rising = spark.range(0, 5000, 1, 7).selectExpr("id div 3 as srch_id", "id as prop_id")
+    good = str(tmp_path / "good")
+    rising.write.csv(good, header=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # several pieces a file
+    try:
+        assert sinks.check_ranked_list(spark, good, 5000) == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError, match="5000 rows"):
+        sinks.check_ranked_list(spark, good, 4999)
+    with pytest.raises(ValueError, match="do not rise"):
+        sinks.check_ranked_list(spark, listed("within", [1, 3, 2], 1), 3)
+    with pytest.raises(ValueError, match="do not rise"):
+        sinks.check_ranked_list(spark, listed("null", [1, None, 2], 1), 3)
+    fall = str(tmp_path / "fall")
+    rising.orderBy(F.desc("srch_id")).coalesce(4).write.csv(fall, header=True)
+    with pytest.raises(ValueError, match="do not rise"):
+        sinks.check_ranked_list(spark, fall, 5000)
+    assert sinks.check_ranked_list(spark, listed("empty", [], 1), 0) == 0
+    assert sinks.check_ranked_list(spark, listed("same", [4, 4, 4], 2), 3) == 3
+
+
 def test_run_record(spark, tmp_path):
     record = {"weights": {"a": 0.5}, "folds": [1, 2], "name": "x", "none": None}
     sinks.write_run_record(spark, record, str(tmp_path / "r"))
