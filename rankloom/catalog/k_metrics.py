@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.catalog.base import SCORES, query
-from rankloom.operators import fusion, metrics
+from rankloom.operators import factors, fusion, metrics
+from rankloom.operators.sampling import train_validation_split
+from rankloom.session import cut_lineage
 
 ID = "srch_id prop_id "
 REPORT = "n_searches n_rows"
@@ -42,6 +44,21 @@ def location_baseline(ctx):
     return metrics.overall_metrics(ctx.log, "prop_location_score1")
 
 
+@query("I14_svd_only_baseline")
+def svd_baseline(ctx):
+    """Rank held-out searches by the factors of the training searches alone: affinity, and cosine.
+
+    Nine digits count, so that hotels without an interaction tie and end on their ids.
+    """
+    train, held = train_validation_split(ctx.log)
+    keys = ["srch_id", "prop_id", "srch_destination_id", "booking_bool", "click_bool"]
+    names = ["svd_affinity_score", "svd_cosine_similarity"]
+    scored = factors.destination_hotel_factors(held.select(*keys), train, 20, flat=False)
+    scored = cut_lineage(scored.withColumns({c: F.round(c, 9) + 0.0 for c in names}))
+    parts = [metrics.overall_metrics(scored, c).withColumn("score", F.lit(c)) for c in names]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "K1_any_relevance",
     """
