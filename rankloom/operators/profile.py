@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from rankloom.functions.rows import RATES, window_bucket
 from rankloom.functions.snap import snap
 from rankloom.operators.nulls import null_safe_join
 from rankloom.operators.metrics import correlation_pairs, pearson_matrix
-from rankloom.operators.quantiles import exact_quantiles
+from rankloom.operators.quantiles import column_quantiles
 from rankloom.operators.sampling import uniform_rows
+from rankloom.session import cut_lineage
 
 
 def _rate(col: str) -> Column:
@@ -55,7 +58,7 @@ def group_size_histogram(df: DataFrame, clip: int = 50) -> DataFrame:
 
 def group_size_summary(df: DataFrame) -> DataFrame:
     sizes = df.groupBy("srch_id").agg(F.count(F.lit(1)).alias("group_size"))
-    return describe(sizes, ["group_size"])
+    return describe(cut_lineage(sizes), ["group_size"])
 
 
 def label_rates(df: DataFrame) -> DataFrame:
@@ -105,16 +108,25 @@ def empty_search_share(df: DataFrame) -> DataFrame:
 
 def clipped_histogram(df: DataFrame, columns: Sequence[str], bins: int = 80, upper: float = 0.99) -> DataFrame:
     """Equal-width histograms of values clipped at a quantile."""
-    values = long_form(df, columns).where(F.col("x").isNotNull())
-    cut = exact_quantiles(values, ["name"], "x", {"high": upper})
-    low = values.groupBy("name").agg(F.min("x").alias("low"))
-    edges = cut.join(low, "name")
-    placed = values.join(edges, "name").withColumn("x", F.least("x", "high"))
-    width = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
-    slot = F.coalesce(F.floor((F.col("x") - F.col("low")) / width * bins), F.lit(0))
-    return placed.groupBy("name", F.least(slot, F.lit(bins - 1)).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
+    ends = column_quantiles(df, {c: {"low": 0.0, "high": upper} for c in columns})
+
+    def slot(c: str) -> Column:
+        low, high = (F.lit(ends[c][end]).cast("double") for end in ("low", "high"))
+        part = (F.least(F.col(c).cast("double"), high) - low) / F.nullif(high - low, F.lit(0.0))
+        return F.least(F.coalesce(F.floor(part * bins), F.lit(0)), F.lit(bins - 1))
+
+    return _placed(df, {c: slot(c) for c in columns}).groupBy("name", "bin").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _placed(df: DataFrame, places: dict[str, Column], *keep: str) -> DataFrame:
+    """``keep`` columns with ``(name, bin)`` of every known value; only bins are spread out, never values."""
+    if not places:
+        return df.select(*keep, F.lit("").alias("name"), F.lit(None).cast("int").alias("bin")).where(F.lit(False))
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("name"), F.when(F.col(c).isNotNull(), place).alias("bin")) for c, place in places.items()
+    ])
+    spread = df.select(*keep, F.explode(cells).alias("_c")).select(*keep, "_c.name", "_c.bin")
+    return spread.where(F.col("bin").isNotNull())
 
 
 def null_and_zero_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -134,10 +146,11 @@ def value_counts(df: DataFrame, col: str, limit: int | None = None) -> DataFrame
 def booked_prices(df: DataFrame, upper: float = 0.99) -> DataFrame:
     """Booked (price, gross) pairs with the quantile cut of each axis."""
     booked = df.where((F.col("booking_bool") == 1) & F.col("price_usd").isNotNull() & F.col("gross_bookings_usd").isNotNull())
-    cut = lambda c: exact_quantiles(booked, [], c, {"q": upper}).scalar()
+    cut = column_quantiles(booked, {c: {"q": upper} for c in ("price_usd", "gross_bookings_usd")})
+    level = lambda c: F.lit(cut[c]["q"]).cast("double")
     return booked.select(
         "srch_id", "prop_id", "price_usd", "gross_bookings_usd",
-        cut("price_usd").alias("price_cut"), cut("gross_bookings_usd").alias("gross_cut"),
+        level("price_usd").alias("price_cut"), level("gross_bookings_usd").alias("gross_cut"),
     )
 
 
@@ -167,20 +180,19 @@ def quantile_bin_rates(
 
     Columns with fewer than ``support`` known values are left out if asked for.
     """
-    values = long_form(df, columns, "booking_bool").where(
-        F.col("x").isNotNull() & F.col("booking_bool").isNotNull()
-    )
-    probs = {f"_e{i}": i / bins for i in range(bins + 1)}
-    edges = exact_quantiles(values, ["name"], "x", probs)
-    support_table = values.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
-    edges = edges.join(support_table.where(F.col("_n") >= support), "name").select(
-        "name", F.array_distinct(F.array(*probs)).alias("_edges")
-    ).where(F.size("_edges") > 1)
-    inner = F.slice("_edges", 2, F.size("_edges") - 2)
-    place = F.size(F.filter(inner, lambda e: e < F.col("x")))
-    return values.join(edges, "name").groupBy("name", place.alias("bin")).agg(
-        _rate("booking_bool").alias("booking_rate"), F.count(F.lit(1)).alias("n_rows")
-    )
+    known = df.where(F.col("booking_bool").isNotNull()).select("booking_bool", *columns)
+    found = column_quantiles(known, {c: {str(i): i / bins for i in range(bins + 1)} for c in columns})
+    edges = {c: list(dict.fromkeys(found[c].values())) for c in columns}
+    if support:
+        counts = known.agg(*[F.count(c).alias(c) for c in columns]).first()
+        edges = {c: e for c, e in edges.items() if counts[c] >= support}
+
+    def place(c: str) -> Column:
+        x = F.col(c).cast("double")
+        return reduce(add, [(x > F.lit(edge)).cast("int") for edge in edges[c][1:-1]], F.lit(0))
+
+    placed = _placed(known, {c: place(c) for c, e in edges.items() if len(e) > 1}, "booking_bool")
+    return placed.groupBy("name", "bin").agg(_rate("booking_bool").alias("booking_rate"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def label_correlates(df: DataFrame, columns: Sequence[str], label: str, top: int | None = 15, absolute: bool = False) -> DataFrame:
@@ -284,7 +296,9 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"),
     )
-    quartiles = exact_quantiles(values, ["name"], "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    found = column_quantiles(df, {c: {"q25": 0.25, "q50": 0.5, "q75": 0.75} for c in columns})
+    quartiles = df.sparkSession.createDataFrame(
+        [(c, *found[c].values()) for c in columns], "name string, q25 double, q50 double, q75 double")
     return null_safe_join(basics, quartiles, ["name"], "left")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import rows
 from rankloom.models.objectives import LambdaRank, XeNdcg, YetiRank
-from rankloom.operators import fusion, relative, skew
+from rankloom.operators import fusion, quantiles, relative, skew
 from rankloom.operators.quantiles import bracket_quantiles, exact_quantiles
 
 
@@ -68,11 +68,11 @@ def test_exact_quantiles_against_numpy(spark, n):
     df = spark.range(n).select((F.col("id") % 3).alias("k"), ((F.col("id") * 7919) % 10007 + F.col("id") / 1e5).alias("x"))
     pdf = df.toPandas()
     probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
-    for quantiles in (exact_quantiles, bracket_quantiles):
-        whole = quantiles(df, [], "x", probs).first()
+    for route in (exact_quantiles, bracket_quantiles):
+        whole = route(df, [], "x", probs).first()
         for name, p in probs.items():
             assert whole[name] == pytest.approx(np.quantile(pdf["x"], p), abs=1e-9)
-        for r in quantiles(df, ["k"], "x", probs).collect():
+        for r in route(df, ["k"], "x", probs).collect():
             for name, p in probs.items():
                 assert r[name] == pytest.approx(np.quantile(pdf.loc[pdf["k"] == r["k"], "x"], p), abs=1e-9)
 
@@ -89,3 +89,54 @@ def test_quantiles_split_by_group_size(spark):
     with SmallGroups(spark, 500):
         got = {r["k"]: r["m"] for r in exact_quantiles(df, ["k"], "x", {"m": 0.5}).collect()}
     assert got == pytest.approx(pdf.groupby("k")["x"].median().to_dict())
+
+
+def quantiles_of(pdf, wanted):
+    return {c: {out: np.quantile(pdf[c].dropna(), p) for out, p in probs.items()} for c, probs in wanted.items()}
+
+
+@pytest.mark.parametrize("kept", [200, 4096])
+def test_column_quantiles_by_narrowing(spark, monkeypatch, kept):
+    """Sketches too small for the column: the brackets narrow scan by scan, ties and constants included."""
+    monkeypatch.setattr(quantiles, "KEPT", kept)
+    scans, inner = [], quantiles._scan
+    monkeypatch.setattr(quantiles, "_scan", lambda *args: scans.append(args) or inner(*args))
+    df = spark.range(3000).select(
+        ((F.col("id") * 7919) % 10007 + F.col("id") / 1e5).alias("spread"), (F.col("id") % 3).cast("int").alias("ties"),
+        F.lit(2.5).alias("constant"), F.when(F.col("id") % 7 == 0, F.col("id") * -1.5).alias("holes"),
+        F.when(F.col("id") < 1500, 0.0).otherwise(1.0).alias("halves"), F.lit(None).cast("double").alias("empty"),
+    )
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.99, "e": 1.0}
+    wanted = {c: probs for c in df.columns}
+    got = quantiles.column_quantiles(df, wanted)
+    assert set(got.pop("empty").values()) == {None} and len(scans) <= (4 if kept == 200 else 1)
+    pdf = df.drop("empty").toPandas()
+    for c, probs in quantiles_of(pdf, {c: probs for c in got}).items():
+        assert got[c] == pytest.approx(probs, abs=1e-9), c
+
+
+def test_column_quantiles_when_sketches_mislead(spark, monkeypatch):
+    """Brackets beside the wanted rank: the counts lead back, and the values stay exact."""
+    monkeypatch.setattr(quantiles, "KEPT", 64)
+    monkeypatch.setattr(quantiles, "_rank_error", lambda n: 0.0 if n <= 64 else 1e-4)
+    df = spark.range(5000).select((F.col("id") * 37 % 4999).cast("double").alias("x"))
+    wanted = {"x": {"a": 0.05, "b": 0.5, "c": 0.9}}
+    assert quantiles.column_quantiles(df, wanted)["x"] == pytest.approx(quantiles_of(df.toPandas(), wanted)["x"])
+
+
+def test_column_quantiles_of_odd_numbers(spark):
+    rows = [float("nan"), 1.0, float("-inf"), 3.0, None, 2.0]
+    df = spark.createDataFrame([(x,) for x in rows], "x double")
+    got = quantiles.column_quantiles(df, {"x": {"low": 0.0, "mid": 0.5, "high": 1.0}})["x"]
+    assert got["low"] == float("-inf") and got["mid"] == 2.0 and np.isnan(got["high"])
+    assert quantiles.column_quantiles(df.limit(0), {"x": {"m": 0.5}}) == {"x": {"m": None}}
+
+
+def test_missed_brackets_of_groups_are_widened(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MARGIN", 1e-9)
+    monkeypatch.setattr(quantiles, "ACCURACY", 3)
+    df = spark.range(2000).select((F.col("id") % 2).alias("k"), ((F.col("id") * 31) % 977).cast("double").alias("x"))
+    passes, inner = [], quantiles._bracketed
+    monkeypatch.setattr(quantiles, "_bracketed", lambda *args: passes.append(args[-1]) or inner(*args))
+    got = {r["k"]: r["m"] for r in bracket_quantiles(df, ["k"], "x", {"m": 0.37}).collect()}
+    assert len(passes) > 1 and got == pytest.approx(df.toPandas().groupby("k")["x"].quantile(0.37).to_dict())
