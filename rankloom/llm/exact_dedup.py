@@ -10,7 +10,8 @@ are equal only because every byte was compared, never because a digest agreed.
    recursion, so that one row of each text per batch goes on. A text that a third of all
    rows share meets the next shuffle with one row per batch and not with all its copies.
 3. The rows that go on are split by blocks that grow sixteenfold, one shuffle per block.
-   A group that is alone, or whose texts have ended, leaves.
+   A group that is alone, or whose texts have ended, leaves. Groups are counted by partial sums, so
+   copies of a hot text never meet in one task; in the join back Spark splits a hot key on the row side.
 """
 
 from __future__ import annotations
@@ -20,10 +21,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import SPACES, broadcast_if_small, stage, text_or_empty, union_all
+from rankloom.llm.common import SPACES, broadcast_if_small, fresh, stage, text_or_empty, union_all
 
 #: Bytes of the first split, of the next one, and the growth from split to split.
 HEAD_BYTES = 16
@@ -74,12 +74,9 @@ def _split_until_done(open_rows: DataFrame) -> DataFrame:
     state = open_rows
     while True:
         digit = F.substring("_bytes", at, width)
-        same = W.partitionBy(*group, "_digit")
-        state = (
-            state.withColumn("_digit", digit)
-            .select("_leader", "_n", "_bytes", F.count("*").over(same).alias("_size"), F.min("_leader").over(same).alias("_group"))
-            .filter("_size > 1")
-        )
+        keyed = state.withColumn("_digit", digit)
+        sizes = keyed.groupBy(*group, "_digit").agg(F.count("*").alias("_size"), F.min("_leader").alias("_class"))
+        state = keyed.join(sizes.filter("_size > 1"), [*group, "_digit"]).withColumn("_group", F.col("_class"))
         state = stage(state.select("_leader", "_n", "_group", F.when(F.col("_n") >= at + width, F.col("_bytes")).alias("_bytes")), "radix")
         done.append(state.filter("_bytes is null").select("_leader", F.col("_group").alias("_class")))
         state = state.filter("_bytes is not null")
@@ -97,7 +94,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     read, as those of a stored table do), ``id_col``, keep_id, group_size, kept, text_sha256
     (of the normalised text; a report, not used to compare).
 
-    A null text is an empty one, and all empty texts are equal. A null id sorts after all ids.
+    A null text is an empty one, and all empty texts are equal. Ids are of any type that sorts; a null id sorts after
+    all ids. Texts of any length are compared whole: longer ones take more splits, each sixteen times as wide.
     Repeated rows are copies of each other: one stays. An empty table gives an empty result.
     Other columns of ``docs`` are not read.
     """
@@ -124,7 +122,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     members = local.filter("_open").select("_row", "_id", "_points", "_sha", "_leader")
     members = members.join(broadcast_if_small(classes), "_leader", "left").withColumn("_class", F.coalesce("_class", "_leader"))
-    best = F.max_by(F.struct("_id", "_row"), F.struct(F.col("_points"), F.col("_id").isNotNull().alias("known"), (-F.col("_id")).alias("small"), (-F.col("_row")).alias("first")))
+    best = F.min(F.struct((-F.col("_points")).alias("_short"), F.col("_id").isNull().alias("_unknown"), "_id", "_row"))
     groups = stage(
         members.groupBy("_class").agg(F.count("*").alias("_size"), best.alias("_best")).filter("_size > 1"), "groups")
     members = members.join(broadcast_if_small(groups), "_class", "left")
@@ -140,6 +138,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its own columns and only the row of each text that stays."""
-    key = "_exact_dedup_row"
+    key = fresh(docs, "_exact_dedup_row")
     dropped = stage(exact_duplicates(docs, id_col, text_col, key).filter("not kept").select(key), "dropped")
     return docs.withColumn(key, F.monotonically_increasing_id()).join(broadcast_if_small(dropped), key, "left_anti").drop(key)

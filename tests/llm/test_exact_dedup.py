@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rankloom.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, radix_leaders
 
@@ -46,6 +47,27 @@ def test_repeated_rows_and_null_ids_keep_one(spark):
     assert out.columns == ["doc_id", "text", "extra"] and out.count() == 2
 
 
+def test_ids_of_text_and_a_caller_with_the_same_column(spark):
+    rows = [("b", "x y"), ("a", "xy "), (None, "xy "), ("c", "z")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("_exact_dedup_row", F.lit(7))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    assert {r.keep_id for r in exact_duplicates(df).collect()} == {"a", "c"}
+    out = drop_exact_duplicates(df)
+    assert out.columns == df.columns and sorted((r.doc_id, r._exact_dedup_row) for r in out.collect()) == [("a", 7), ("c", 7)]
+
+
+def test_a_hot_long_text_is_counted_before_it_travels(spark, monkeypatch):
+    """Copies in every partition, texts that part only in late blocks; no window holds a group."""
+    monkeypatch.setattr("rankloom.llm.exact_dedup.BLOCK_BYTES", 32)
+    base = prose(3, 700)
+    texts = [base] * 90 + [base[:-1] + "q"] * 2 + [base[:2000] + "#" + base[2001:]] * 3 + [prose(i, 20) for i in range(40)]
+    df = docs(spark, texts).repartition(12, "doc_id")
+    df = spark.createDataFrame(df.collect(), df.schema).repartition(12).checkpoint()
+    result = exact_duplicates(df)
+    assert got(result) == expected([(r.doc_id, r.text) for r in df.collect()])
+    assert "Window" not in result._jdf.queryExecution().toString()
+
+
 def test_empty_table(spark):
     assert exact_duplicates(docs(spark, [])).collect() == []
     assert drop_exact_duplicates(docs(spark, [])).collect() == []
