@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankloom.catalog.base import SCORES, query
+from rankloom.catalog.base import SCORES, hash_sql, query
+from rankloom.catalog.j_fusion import pos
 from rankloom.functions import rows
 from rankloom.models import rankers
+from rankloom.models.objectives import LambdaRank, XeNdcg, YetiRank
 from rankloom.operators import relative, sampling
 from rankloom.operators.metrics import overall_metrics
+from rankloom.operators.ordered import ordered_target_statistics
 from rankloom.session import cut_lineage
 
 ID = "srch_id prop_id "
@@ -25,7 +28,7 @@ def _frame(ctx):
     from rankloom.operators.skew import with_percent_rank
 
     df = with_percent_rank(df, {"price_usd_rank": "price_usd"}, oversized=ctx.big)
-    keep = ["srch_id", "prop_id", "booking_bool", "click_bool", "position", "random_bool", "is_domestic", *FEATURES]
+    keep = ["srch_id", "booking_bool", "click_bool", "position", "random_bool", "is_domestic", *rankers.CATEGORY_IDS, *FEATURES]
     return cut_lineage(df.select(*keep))
 
 
@@ -68,6 +71,88 @@ def xendcg(ctx):
     return _report(ctx, scores, "xendcg_avg_score", held)
 
 
+def _pair_gradient_sql(truncation: int) -> str:
+    """Every pair of a search beside the operator, which meets the top rows only."""
+    return f"""
+, r AS (SELECT srch_id, prop_id, rel, s3 AS s, {pos('s3')} AS k, row_number() OVER (PARTITION BY srch_id ORDER BY rel DESC) AS i FROM scored),
+  d AS (SELECT srch_id, sum(rel / log2(i + 1)) FILTER (WHERE i <= {truncation}) AS ideal FROM r GROUP BY 1),
+  p AS (SELECT a.srch_id, a.prop_id AS up, b.prop_id AS down, 1 / (1 + exp(a.s - b.s)) AS rho,
+      (a.rel - b.rel) * abs(1 / log2(a.k + 1) - 1 / log2(b.k + 1)) / ideal AS delta
+    FROM r a JOIN r b ON a.srch_id = b.srch_id AND a.rel > b.rel AND least(a.k, b.k) <= {truncation}
+    JOIN d ON a.srch_id = d.srch_id WHERE ideal > 0),
+  e AS (SELECT srch_id, up AS prop_id, -rho * delta AS g, rho * (1 - rho) * delta AS h FROM p
+    UNION ALL SELECT srch_id, down, rho * delta, rho * (1 - rho) * delta FROM p),
+  t AS (SELECT srch_id, prop_id, sum(g) AS g, sum(h) AS h FROM e GROUP BY 1, 2)
+SELECT srch_id, prop_id, coalesce(g, 0) AS gradient, coalesce(h, 0) AS curvature FROM r LEFT JOIN t USING (srch_id, prop_id)"""
+
+
+def _gradients(ctx, objective):
+    """Gradients of an objective at the fixed score ``s3``, in its first round."""
+    scored = ctx.scored.select("srch_id", "prop_id", rows.relevance().alias("rel"), F.col("s3").alias("score"))
+    return objective.gradients(scored, 0, ctx.big).withColumnsRenamed({"_g": "gradient", "_h": "curvature"})
+
+
+@query("I3_I6_lambdarank_gradients", _pair_gradient_sql(30), exact=ID, d6="gradient curvature")
+def lambdarank_gradients(ctx):
+    return _gradients(ctx, LambdaRank(30))
+
+
+@query("I3_truncated_5_gradients", _pair_gradient_sql(5), exact=ID, d6="gradient curvature")
+def lambdarank5_gradients(ctx):
+    return _gradients(ctx, LambdaRank(5))
+
+
+@query(
+    "I4_xendcg_gradients",
+    f"""
+, m AS (SELECT srch_id, prop_id, exp(s3 - max(s3) OVER (PARTITION BY srch_id)) AS e,
+      rel + 1 - ({hash_sql('42:0', 'srch_id', 'prop_id')} + 0.5e0) / 4294967296e0 AS phi FROM scored),
+  p AS (SELECT *, e / sum(e) OVER (PARTITION BY srch_id) AS p FROM m)
+SELECT srch_id, prop_id, p - phi / sum(phi) OVER (PARTITION BY srch_id) AS gradient, p * (1 - p) AS curvature FROM p""",
+    exact=ID, d6="gradient curvature",
+)
+def xendcg_gradients(ctx):
+    return _gradients(ctx, XeNdcg())
+
+
+def _noisy_gradient_sql() -> str:
+    """Both neighbours of every row in three noisy rankings."""
+    ctes, parts = [], []
+    for k in range(3):
+        u = f"(({hash_sql(f'42:0:{k}', 'srch_id', 'prop_id')} + 0.5e0) / 4294967296e0)"
+        ctes.append(f"n{k} AS (SELECT srch_id, prop_id, rel, s3 AS s, s3 + ln({u} / (1 - {u})) AS noisy FROM scored)")
+        w = "OVER (PARTITION BY srch_id ORDER BY noisy DESC, prop_id)"
+        for side, first in (("lead", 0), ("lag", 1)):
+            parts.append(f"SELECT srch_id, prop_id, rel, s, {side}(rel) {w} AS r2, {side}(s) {w} AS s2, row_number() {w} - {first} AS q FROM n{k}")
+    return f"""
+, {', '.join(ctes)}, a AS ({' UNION ALL '.join(parts)}),
+  b AS (SELECT *, 1 / (1 + exp(CASE WHEN rel > r2 THEN s - s2 ELSE s2 - s END)) AS rho,
+      0.15e0 * pow(0.85e0, q - 1) * abs(rel - r2) AS w, CASE WHEN rel > r2 THEN -1 ELSE 1 END AS sign FROM a)
+SELECT srch_id, prop_id, coalesce(sum(sign * rho * w) FILTER (WHERE r2 <> rel), 0) AS gradient,
+  coalesce(sum(rho * (1 - rho) * w) FILTER (WHERE r2 <> rel), 0) AS curvature FROM b GROUP BY 1, 2"""
+
+
+@query("I5_yetirank_gradients", _noisy_gradient_sql(), exact=ID, d6="gradient curvature")
+def yetirank_gradients(ctx):
+    return _gradients(ctx, YetiRank())
+
+
+def _ordered_sql(c: str) -> str:
+    before = f"OVER (PARTITION BY {c} ORDER BY u, srch_id, prop_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"(coalesce(sum(rel / 5e0) {before}, 0) + 0.05e0) / (count(*) {before} + 1) AS {c}_ordered"
+
+
+@query(
+    "I5_ordered_target_statistics",
+    f"""
+, h AS (SELECT *, {hash_sql('42', 'srch_id', 'prop_id')} AS u FROM scored)
+SELECT srch_id, prop_id, {', '.join(map(_ordered_sql, rankers.CATEGORY_IDS))} FROM h""",
+    exact=ID, d6=" ".join(f"{c}_ordered" for c in rankers.CATEGORY_IDS),
+)
+def ordered_ids(ctx):
+    return ordered_target_statistics(ctx.log, rankers.CATEGORY_IDS, rows.relevance() / 5)
+
+
 @query("I5_yetirank")
 def yetirank(ctx):
     return _ranker(ctx, "cb_score", lambda t, v: rankers.fit_yetirank(t, v, FEATURES, rounds=2, depth=3))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial, reduce
 from operator import add, or_
 
@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.rows import available, feature_columns, finite_or_null
+from rankloom.functions.rows import available, feature_columns, finite_or_null, relevance
 from rankloom.models.assemble import assemble, target_free
 from rankloom.models.boost import SNAPSHOTS, RankModel, fit_ranker
 from rankloom.models.ensemble import add_sum
@@ -21,6 +21,7 @@ from rankloom.models.objectives import LambdaRank, XeNdcg, YetiRank
 from rankloom.operators.fusion import mean_score, rank_scores, score_normalizations, z_scores
 from rankloom.operators.joins import attach_scores
 from rankloom.operators.metrics import mean_ndcg
+from rankloom.operators.ordered import SUFFIX, encode_ids, ordered_target_statistics, target_statistics
 from rankloom.operators.relative import first_value, score_order, sort_score_features
 from rankloom.operators.sampling import drop_negatives, fold_of
 from rankloom.operators.skew import with_position
@@ -84,10 +85,32 @@ def fit_lambdarank(train, validation, features, truncation: int = 30, **options)
     return fit_ranker(train, features, LambdaRank(truncation), validation=validation, **options)
 
 
-def fit_yetirank(train, validation, features, permutations: int = 3, **options) -> RankModel:
-    """Ids enter through their target encodings; raw factor columns are left out."""
-    kept = feature_columns(features, keep_factors=False)
-    return fit_ranker(train, kept, YetiRank(permutations), validation=validation, **options)
+# Ids that the noisy-ranking model reads as categories.
+CATEGORY_IDS = ["prop_id", "srch_destination_id", "site_id", "visitor_location_country_id", "prop_country_id"]
+
+
+@dataclass
+class CategoryRankModel(RankModel):
+    """A ranker that reads ids as categories, encoded by the labels of its training rows."""
+
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def predict(self, df: DataFrame, out: str, snapshots: Sequence[float] | None = SNAPSHOTS) -> DataFrame:
+        return super().predict(encode_ids(df, self.tables), out, snapshots)
+
+
+def fit_yetirank(
+    train, validation, features, permutations: int = 3, ids: Sequence[str] = CATEGORY_IDS, **options
+) -> CategoryRankModel:
+    """Noisy-ranking model. Ids enter as ordered target statistics; raw factor columns are left out."""
+    known = available(ids, train)
+    label, kept = relevance() / 5, [c for c in feature_columns(features, keep_factors=False) if c not in known]
+    tables = target_statistics(train, known, label)
+    rows = ordered_target_statistics(train, known, label)
+    held = None if validation is None else encode_ids(validation, tables)
+    names = [*kept, *[f"{c}{SUFFIX}" for c in known]]
+    model = fit_ranker(rows, names, YetiRank(permutations), validation=held, **options)
+    return CategoryRankModel(**vars(model), tables=tables)
 
 
 def fit_xendcg(train, validation, features, seed: int = 42, drop_frac: float = 0.35, **options) -> RankModel:

@@ -111,6 +111,32 @@ def with_position(
     return by_group_size(df, keys, small, large, oversized)
 
 
+def with_running_sums(
+    df: DataFrame,
+    sums: Mapping[str, Column],
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    oversized: DataFrame | None | str = AUTO,
+) -> DataFrame:
+    """Attach sums over the rows of the group that come before a row in ``order``, which must be total; 0 at first."""
+    def small(part: DataFrame) -> DataFrame:
+        earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return part.withColumns({out: F.coalesce(F.sum(x).over(earlier), F.lit(0.0)) for out, x in sums.items()})
+
+    def large(part: DataFrame) -> DataFrame:
+        values = {out: f"_v{i}" for i, out in enumerate(sums)}
+        chunks = range_chunks(part.withColumns({values[out]: x for out, x in sums.items()}), keys, order)
+        earlier = Window.partitionBy(*keys, "_chunk").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+        done = chunks.withColumns({out: F.sum(v).over(earlier) for out, v in values.items()})
+        for out, v in values.items():
+            borders = _carry(chunks, keys, F.sum(v), F.sum).drop("_first")
+            done = null_safe_join(done, borders, [*keys, "_chunk"], "left")
+            done = done.withColumn(out, F.coalesce(out, F.lit(0.0)) + F.coalesce("_carry", F.lit(0.0))).drop("_carry")
+        return done.drop("_seq", "_chunk", *values.values())
+
+    return by_group_size(df, keys, small, large, oversized)
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], col: str, small: bool = False) -> DataFrame:
     """Average rank of each distinct value in its group: ``keys, col, _avg_rank, _n``.
 
