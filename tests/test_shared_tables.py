@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.rows import relevance
 from rankloom.models import boost, rankers
+from rankloom.models.objectives import XeNdcg
 from rankloom.operators import ordered, sampling
 
 FEATURES = ["price_usd", "prop_starrating", "prop_location_score1"]
@@ -18,12 +19,18 @@ def counted(monkeypatch, module, name):
 
 
 def test_seeds_and_folds_write_their_features_once(monkeypatch, log):
-    calls = counted(monkeypatch, boost, "cut_lineage")
+    calls, held = counted(monkeypatch, boost, "stage_buckets"), counted(monkeypatch, boost, "cut_lineage")
     rankers.xendcg_average(log, log, FEATURES, log, seeds=(1, 2, 3), rounds=1, depth=2, min_rows=5)
-    assert len(calls) == 2  # training and held rows
+    assert (len(calls), len(held)) == (1, 1)
     calls.clear()
     rankers.fit_meta(log, FEATURES, n_folds=3, rounds=1, depth=2, min_rows=5)
-    assert len(calls) == 1
+    assert (len(calls), len(held)) == (1, 1)
+
+
+def test_a_round_moves_no_features(log):
+    table = boost.feature_table(log, FEATURES)
+    graded = XeNdcg().gradients(sampling.drop_negatives(table.rows, 0.35, 1, placed=True), 0, None)
+    assert "Exchange" not in graded._jdf.queryExecution().executedPlan().toString()
 
 
 def test_shared_table_gives_the_models_of_their_own_tables(log):
