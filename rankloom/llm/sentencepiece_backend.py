@@ -116,7 +116,8 @@ def build(model: Model) -> Tokenizer:
                    unk_token=None if unknown is None else model.pieces[unknown][0])
     tokenizer = Tokenizer(core)
     last = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *last])
+    # the metaspace decoder swaps the marker as Replace does, without a pattern search in every piece
+    tokenizer.decoder = decoders.Sequence([decoders.Metaspace(MARK, "never"), decoders.ByteFallback(), decoders.Fuse(), *last])
     return tokenizer
 
 
@@ -159,16 +160,20 @@ class PieceCodec:
         edges = before[np.searchsorted(starts, begins)].tolist()
         return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray] | list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(_lists(ids), skip_special_tokens=False)
 
-    def parity(self, texts: list[str], ids: list[np.ndarray]) -> list[bool]:
+    def parity(self, texts: list[str], ids: list[np.ndarray] | list[list[int]]) -> list[bool]:
         """Whether the sentencepiece library gives the same ids."""
         from sentencepiece import SentencePieceProcessor
 
         if not hasattr(self, "reference"):
             self.reference = SentencePieceProcessor(model_proto=self.data)
-        return [a.tolist() == b for a, b in zip(ids, self.reference.encode(texts, num_threads=1))]
+        return [a == b for a, b in zip(_lists(ids), self.reference.encode(texts, num_threads=1))]
+
+
+def _lists(ids: list[np.ndarray] | list[list[int]]) -> list[list[int]]:
+    return [x if isinstance(x, list) else x.tolist() for x in ids]
 
 
 @lru_cache(maxsize=2)
@@ -192,12 +197,13 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             for begin, end, texts in chunks(batch.column(1)):
                 part = [t.decode() for t in texts]
                 ids = work.encode(part)
-                decoded = work.decode(ids)
+                lists = _lists(ids)  # both libraries take Python numbers; made once
+                decoded = work.decode(lists)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(begin, end - begin), pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(decoded if keep_decoded else [None] * len(part), pa.string()),
                     pa.array([a == b for a, b in zip(decoded, part)], pa.bool_()),
-                    pa.array(work.parity(part, ids) if verify else [None] * len(part), pa.bool_()),
+                    pa.array(work.parity(part, lists) if verify else [None] * len(part), pa.bool_()),
                 ], [id_col, "n_tokens", "ids", "decoded", "round_trip", "parity"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()

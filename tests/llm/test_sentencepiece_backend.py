@@ -55,6 +55,23 @@ def test_hand_made_models_have_parity(kind, squeeze, extra):
     assert codec.parity(texts, codec.encode(texts)) == [True] * len(texts)
 
 
+def test_decoder_searches_no_pattern_in_pieces():
+    """Any ids, not only those of texts, decode as with a pattern for the marker."""
+    import json
+
+    from tokenizers import decoders
+
+    codec = PieceCodec(PATH)
+    steps = json.loads(codec.tokenizer.to_str())["decoder"]["decoders"]
+    assert "Replace" not in {s["type"] for s in steps}
+    draws = np.random.default_rng(3)
+    ids = [draws.integers(0, high, size) for high in (300, 32_000) for size in (0, 1, 2, 50) for _ in range(20)]
+    found = codec.decode(ids)
+    assert codec.decode([x.tolist() for x in ids]) == found
+    codec.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
+    assert codec.decode(ids) == found
+
+
 def test_parser_reads_the_wire_format():
     model = parse(tiny_model(IS_UNIGRAM, PIECES, True))
     assert model.pieces[259:262] == [(MARK, -3.0, 1), ("a", pytest.approx(-3.1), 1), ("b", pytest.approx(-3.2), 1)]
