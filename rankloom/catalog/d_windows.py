@@ -162,7 +162,7 @@ SELECT srch_id, prop_id, {_dominance_sql('prop_location_score2')}, {_dominance_s
 def dominance(ctx):
     from rankloom.operators.priors import HOTEL_RATES, smoothed_priors
 
-    frame = smoothed_priors(rows.trip_features(ctx.log), ctx.log, [HOTEL_RATES])
+    frame = ctx.by_search(smoothed_priors(rows.trip_features(ctx.log), ctx.log, [HOTEL_RATES]))
     return relative.dominance(frame, oversized=ctx.big)
 
 
@@ -187,7 +187,7 @@ SELECT srch_id, prop_id, """
 def target_ranks(ctx):
     from rankloom.operators.priors import DESTINATION_HOTEL, HOTEL_RATES, smoothed_priors
 
-    frame = smoothed_priors(ctx.log, ctx.log, [HOTEL_RATES, DESTINATION_HOTEL])
+    frame = ctx.by_search(smoothed_priors(ctx.log, ctx.log, [HOTEL_RATES, DESTINATION_HOTEL]))
     return relative.target_ranks(frame, oversized=ctx.big)
 
 
@@ -258,7 +258,7 @@ def rate_deviations(ctx):
     from rankloom.operators.priors import DESTINATION_STAR, HOTEL_RATES, smoothed_priors
     from rankloom.operators.skew import with_percent_rank
 
-    frame = smoothed_priors(rows.trip_features(ctx.log), ctx.log, [HOTEL_RATES, DESTINATION_STAR])
+    frame = ctx.by_search(smoothed_priors(rows.trip_features(ctx.log), ctx.log, [HOTEL_RATES, DESTINATION_STAR]))
     ranked = with_percent_rank(
         frame, {"price_usd_rank": "price_usd", "prop_quality_score_rank": "prop_quality_score"}, oversized=ctx.big
     )

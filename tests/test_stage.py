@@ -50,3 +50,14 @@ def test_staged_rows_are_those_of_the_tables(spark, star, limit):
         assert rows(ctx.log) == rows(search_log(spark, star))
         assert (ctx.big is None) == (limit > 50)
     base._staged.clear()
+
+
+def test_moved_rows_are_put_back_into_the_buckets(spark, star, monkeypatch):
+    """A shuffle's own number of partitions does not grow with the rows; the log's buckets do."""
+    from rankloom import session
+
+    monkeypatch.setattr(session, "BUCKET_ROWS", 8)
+    ctx = base.Context(spark, star)
+    moved = ctx.by_search(ctx.log.repartition(3, "prop_id").select("srch_id", "prop_id", "price_usd"))
+    counted = with_group_stats(moved, {"n": F.count(F.lit(1))}, oversized=None)
+    assert ctx.buckets > 8 and counted.rdd.getNumPartitions() == ctx.buckets and counted.count() == ctx.log.count()
