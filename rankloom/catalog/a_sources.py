@@ -3,17 +3,22 @@
 from rankloom.catalog.base import hash_sql, query
 from rankloom.sources import logs, sinks
 from rankloom.sources.schema import LABEL_COLUMNS, LOG_COLUMNS, log_schema
-from rankloom.session import stage_folder
+from rankloom.session import frees_shuffles, stage_folder
 
 _TYPES = {f.name: f.dataType.simpleString() for f in log_schema().fields}
 _EXACT = [c for c in LOG_COLUMNS if _TYPES[c] != "double"]
 _DOUBLES = [c for c in LOG_COLUMNS if _TYPES[c] == "double"]
-_CSV_OPTIONS = {"header": True, "nullValue": logs.NULL_TOKEN, "timestampNTZFormat": logs.TIMESTAMP_FORMAT}
+#: Compressed, since the text is ten times the tables it comes from; a reader finds the method by the file name.
+_CSV_OPTIONS = {
+    "header": True, "nullValue": logs.NULL_TOKEN, "timestampNTZFormat": logs.TIMESTAMP_FORMAT, "compression": "gzip",
+    "zlib.compress.level": "BEST_SPEED",
+}
 
 
 def _stage_csv(ctx, name, df):
     path = stage_folder(ctx.spark, name)
-    df.write.mode("overwrite").options(**_CSV_OPTIONS).csv(path)
+    with frees_shuffles(ctx.spark):
+        df.write.mode("overwrite").options(**_CSV_OPTIONS).csv(path)
     return path
 
 
